@@ -5,10 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, packing
+from lexspark.llm import bpe, characters, packing, repeats, split
 from lexspark.session import table
 
 
+def _items(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text that problem 1 splits, as (src, row_id, pos, text)."""
+    madde, hit = table(spark, folder, "madde"), table(spark, folder, "hit")
+    zero = F.lit(0).alias("pos")
+    return (
+        madde.select(F.lit("metin").alias("src"), "row_id", zero, F.col("metin").alias("text"))
+        .unionByName(madde.select(F.lit("fikralar").alias("src"), "row_id", F.posexplode("fikralar").alias("pos", "text")))
+        .unionByName(hit.select(F.lit("hit").alias("src"), F.col("hit_id").alias("row_id"), zero, "text"))
+    )
+
+
+def p1_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    return split.split_items(_items(spark, folder), ["src", "row_id", "pos"])
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = split.split_items(_items(spark, folder), ["src", "row_id", "pos"], with_text=False)
+    return pieces.where("piece = 1").select("src", "row_id", "pos")
+
+
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of problem 6 as (src, row, id, question)."""
+    lines = table(spark, folder, "gold_lines").select("line_id", repeats.record_fields(F.col("line")).alias("r")).where("r is not null")
+    return (
+        table(spark, folder, "dev_omer").select(F.lit("dev_omer").alias("src"), F.col("row_id").alias("row"), "id", "question")
+        .unionByName(lines.select(F.lit("gold_lines").alias("src"), F.col("line_id").alias("row"), "r.id", "r.question"))
+    )
+
+
+def p6_records(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.collapse(_records(spark, folder), "row", ["id", "question"], ["src"])[0]
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.collapse(_records(spark, folder), "row", ["id", "question"], ["src"])[1]
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return (
+        characters.changed(table(spark, folder, "hit"), "hit_id", "kanun_short", "hit", code=True)
+        .unionByName(characters.changed(table(spark, folder, "madde"), "row_id", "metin", "madde"))
+        .unionByName(characters.changed(table(spark, folder, "dev_omer"), "row_id", "question", "dev_omer"))
+    )
+
+
+def p7_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits per consistent law code, the code's law, and how many codes had to change."""
+    hits = table(spark, folder, "hit").select("kanun_short", characters.consistent_form(F.col("kanun_short"), code=True).alias("code"))
+    counted = hits.groupBy("code").agg(F.count("*").alias("hits"), F.count_if(F.col("kanun_short") != F.col("code")).alias("changed"))
+    laws = table(spark, folder, "law_metadata").select(F.col("short_name").alias("code"), "kanun_no")
+    return counted.join(laws, "code", "left")
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.token_ids(table(spark, folder, "documents"))
 
@@ -18,5 +71,15 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(bpe.token_counts(documents))
 
 
-QUERIES = {f.__name__: f for f in (p8_ids, p9_containers)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p6_found, p6_records, p7_found, p7_codes, p8_ids, p9_containers)}
+
+
+ORACLE: dict[str, str] = {
+    "p1_found": """
+        select 'metin' as src, row_id, 0 as pos from madde where length(metin) > 1500
+        union all
+        select 'fikralar', row_id, (i - 1)::int from (select row_id, fikralar, unnest(range(1, len(fikralar) + 1)) as i from madde) where length(fikralar[i]) > 1500
+        union all
+        select 'hit', hit_id, 0 from hit where length(text) > 1500
+    """,
+}
