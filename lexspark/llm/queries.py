@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, characters, packing, repeats, split
+from lexspark.llm import bpe, characters, leaks, overlaps, packing, repeats, split, words
 from lexspark.session import table
 
 
@@ -29,6 +29,41 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.where("piece = 1").select("src", "row_id", "pos")
 
 
+def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    gold = [table(spark, folder, t).select(F.lit(n).alias("split"), F.col("row_id").alias("eval_id"), "question", "gold_doc_ids") for n, t in (("dev", "dev_omer"), ("test", "test_full"))]
+    train = table(spark, folder, "synthetic_qa").select(F.col("qa_id").alias("train_id"), "question", "source_doc_id")
+    return overlaps.overlaps(gold[0].unionByName(gold[1]), train)
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _overlaps(spark, folder)
+
+
+def p2_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlapping pairs and questions per split and law of the training row."""
+    laws = table(spark, folder, "synthetic_qa").select(F.col("qa_id").alias("train_id"), "kanun_short")
+    pairs = _overlaps(spark, folder).join(laws, "train_id")
+    return pairs.groupBy("split", "kanun_short").agg(F.count("*").alias("pairs"), F.count_distinct("eval_id").alias("questions"), F.count_distinct("train_id").alias("training_rows"))
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    documents, qa = table(spark, folder, "documents"), table(spark, folder, "synthetic_qa")
+    texts = documents.select(F.lit("documents").alias("src"), F.col("doc_id").alias("text_id"), "text").unionByName(
+        qa.select(F.lit("synthetic_qa").alias("src"), F.col("qa_id").alias("text_id"), F.explode(F.array("question", "answer")).alias("text"))
+    )
+    items = table(spark, folder, "test_full").select("row_id", "question", words.without_citations(F.col("answer")).alias("answer"))
+    return leaks.leaks(texts, items, "row_id", ["question", "answer"])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("item_id", "src", "text_id").distinct()
+
+
+def p4_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every leaked passage with its place in the text."""
+    return _leaks(spark, folder)
+
+
 def _records(spark: SparkSession, folder: str) -> DataFrame:
     """The records of problem 6 as (src, row, id, question)."""
     lines = table(spark, folder, "gold_lines").select("line_id", repeats.record_fields(F.col("line")).alias("r")).where("r is not null")
@@ -71,7 +106,7 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(bpe.token_counts(documents))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p6_found, p6_records, p7_found, p7_codes, p8_ids, p9_containers)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p4_found, p4_passages, p6_found, p6_records, p7_found, p7_codes, p8_ids, p9_containers)}
 
 
 ORACLE: dict[str, str] = {
