@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, characters, leaks, overlaps, packing, repeats, split, words
+from lexspark.llm import bpe, characters, languages, leaks, overlaps, packing, repeats, split, words
 from lexspark.session import table
 
 
@@ -106,7 +106,28 @@ def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(bpe.token_counts(documents))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p4_found, p4_passages, p6_found, p6_records, p7_found, p7_codes, p8_ids, p9_containers)}
+def _languages(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    return languages.languages(languages.segments(documents, languages.fit(documents, "doc_id", "text", "lang")))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _languages(spark, folder).where("state <> 'right'").select("doc_id", "state", "lang")
+
+
+def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its languages and their confidence."""
+    return _languages(spark, folder)
+
+
+def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every segment of every document."""
+    documents = table(spark, folder, "documents")
+    found = languages.segments(documents, languages.fit(documents, "doc_id", "text", "lang"))
+    return found.select("doc_id", F.posexplode("segments").alias("pos", "s")).select("doc_id", "pos", "s.*")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p4_found, p4_passages, p6_found, p6_records, p7_found, p7_codes, p8_ids, p9_containers, p10_found, p10_languages, p10_segments)}
 
 
 ORACLE: dict[str, str] = {
