@@ -192,10 +192,14 @@ def _classifier(items: tuple[tuple[str, bytes], ...]) -> Classifier:
 
 def fit(documents: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict[str, bytes]:
     """Dictionaries from at most SAMPLE_ROWS labelled texts of at most SAMPLE_CHARS characters,
-    chosen by the hash of their id."""
-    labelled = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), label_language(F.col(lang_col)).alias("l"))
+    chosen by the hash of their id; the hash thins the table first, so that no more than some
+    times the sample is sent to the driver."""
+    share = min(1.0, 4 * SAMPLE_ROWS / max(1, documents.count()))
+    h = F.xxhash64(id_col)
+    drawn = documents.where(F.pmod(h, F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
+    labelled = drawn.select(h.alias("h"), F.col(text_col).alias("t"), label_language(F.col(lang_col)).alias("l"))
     usable = labelled.where(F.col("l").isin(*LANGUAGES) & F.length("t").between(100, SAMPLE_CHARS))
-    rows = usable.orderBy(F.xxhash64("i"), "t").limit(SAMPLE_ROWS).collect()
+    rows = usable.orderBy("h", "t").limit(SAMPLE_ROWS).collect()
     return train([(r["l"], r["t"]) for r in rows])
 
 

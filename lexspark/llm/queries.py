@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, characters, languages, leaks, overlaps, packing, repeats, split, words
+from lexspark.llm import bpe, characters, languages, leaks, overlaps, packing, pairs, repeats, split, words
 from lexspark.session import table
 
 
@@ -64,6 +64,11 @@ def p4_passages(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder)
 
 
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    dictionaries = languages.fit(table(spark, folder, "documents"), "doc_id", "text", "lang")
+    return pairs.defects(table(spark, folder, "synthetic_qa"), dictionaries)
+
+
 def _records(spark: SparkSession, folder: str) -> DataFrame:
     """The records of problem 6 as (src, row, id, question)."""
     lines = table(spark, folder, "gold_lines").select("line_id", repeats.record_fields(F.col("line")).alias("r")).where("r is not null")
@@ -127,7 +132,7 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("segments").alias("pos", "s")).select("doc_id", "pos", "s.*")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p4_found, p4_passages, p6_found, p6_records, p7_found, p7_codes, p8_ids, p9_containers, p10_found, p10_languages, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p4_found, p4_passages, p5_found, p6_found, p6_records, p7_found, p7_codes, p8_ids, p9_containers, p10_found, p10_languages, p10_segments)}
 
 
 ORACLE: dict[str, str] = {
