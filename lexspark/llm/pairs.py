@@ -48,7 +48,9 @@ LEADING = re.compile(r"^\W*(?:evet|hayir|yes|no|ja|nein|oui|non|sí|si|bəli|xey
 SPAN = re.compile(r"^\W*(?:\d+|(?:[^\W\d]+ ){0,2}[^\W\d]+)\s+(?:iş günü|gün|hafta|ay|yil|saat|dakika)\W*$")
 ABBREVIATION = re.compile(r"(?<!\w)(?:m|no|s|vb|bkz|md)\.$")
 TOKEN = re.compile(r"[^\W_]+(?:[/.][^\W_]+)*")
-END = re.compile(r"[.!?…]+[\"”’)]*(?:\s+(?=[^\W\da-zçğıöşü_]|[\"“(\[])|\s*$)|\s*(?=\[)")
+END = re.compile(r"[.!?…]+[\"”’)]*(?:\s+(?=[^\W\da-zçğıöşü_]|[\"“(\[])|\s*$)")
+REMARK = re.compile(r"\s*\([^()]*\)\s*$")
+LAST_CITATIONS = re.compile(rf"(?:\s*{CITATION}[\s.,;:!?]*)+$")
 
 
 def plain(text: str) -> str:
@@ -83,33 +85,33 @@ def token_key(before: str, word: str) -> str:
     return f"{before} #" if word[0].isdigit() else word
 
 
-def contexts(answer: str) -> Iterator[tuple[str, bool]]:
-    """(context, whether a sentence ends there) of every word."""
-    text = answer
-    starts = [m.start() for m in END.finditer(text)]
-    folded, k, before, last = fold(text), 0, "", None
-    for m in TOKEN.finditer(folded):
-        if last:
-            while k < len(starts) and starts[k] < last[1]:
-                k += 1
-            yield last[0], k < len(starts) and starts[k] < m.start() and not ABBREVIATION.search(folded[last[1] - 4 if last[1] > 4 else 0 : last[1] + 1])
-        last, before = (token_key(before, m.group()), m.end()), m.group()
-    if last:
-        rest = folded[last[1] :].strip()
-        yield last[0], bool(rest) and rest[0] in ".!?" and not rest.startswith(("...", ".."))
+def contexts(answer: str) -> Iterator[tuple[str, bool | None]]:
+    """(context, whether a sentence ends there) of every word; None before a citation and at the
+    end of the answer where no sign says so."""
+    ends = [m.start() for m in END.finditer(answer)]
+    folded, k, before = fold(answer), 0, ""
+    hidden = [m.span() for m in CITED.finditer(answer)]
+    tokens = [m for m in TOKEN.finditer(folded) if not any(a <= m.start() < b for a, b in hidden)]
+    for m, after in zip(tokens, [*tokens[1:], None]):
+        upto = after.start() if after else len(answer)
+        while k < len(ends) and ends[k] < m.end():
+            k += 1
+        ended = k < len(ends) and ends[k] < upto and "[" not in folded[m.end() : ends[k]] and not ABBREVIATION.search(folded[max(0, m.end() - 4) : m.end() + 1])
+        yield token_key(before, m.group()), True if ended else None if after is None or "[" in folded[m.end() : upto] else False
+        before = m.group()
+
+
+def body_of(answer: str) -> str:
+    """Without citations and a bracketed remark at the end."""
+    return REMARK.sub("", CITED.sub("", LAST_CITATIONS.sub("", answer)))
 
 
 def unfinished_shape(answer: str) -> bool | None:
     """True and False if the signs at the end tell, else None: the last word decides."""
-    text = answer.rstrip()
-    body = CITED.sub("", text)
-    if "[" in body:
-        return True
-    if text.endswith(("]", "].", "]!", "]?", "];")) or CITED.search(text) and not re.search(r"\w", text[[m.end() for m in CITED.finditer(text)][-1] :]):
-        return False
-    if body.count("(") > body.count(")") or body.count("“") > body.count("”"):
+    body = body_of(answer)
+    if "[" in body or body.count("(") > body.count(")") or body.count("“") > body.count("”"):
         return True
-    tail = body.rstrip("\"”’)*_ ")
+    tail = body.rstrip("\"”’)*_ \t\r\n\u00a0")
     if tail.endswith(("...", "…")):
         return None
     if tail.endswith((",", ";", ":", "-", "–", "(", "“")):
@@ -150,7 +152,7 @@ def judged(qa: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
                     if shape:
                         defect[i] = "truncated"
                     elif shape is None and not SPAN.match(folded):
-                        for last[i], _ in contexts(a):
+                        for last[i], _ in contexts(body_of(a)):
                             pass
             if bodies:
                 sizes = classifier.sizes([b for _, b in bodies])
@@ -169,7 +171,7 @@ def terminal_counts(qa: DataFrame) -> DataFrame:
         for batch in batches:
             seen: Counter = Counter()
             for answer in batch.column(0).to_pylist():
-                seen.update(contexts(answer))
+                seen.update(x for x in contexts(answer) if x[1] is not None)
             keys = list({k for k, _ in seen})
             yield pa.RecordBatch.from_pydict({"context": pa.array(keys, pa.string()), "ends": pa.array([seen[k, True] for k in keys], pa.int64()), "others": pa.array([seen[k, False] for k in keys], pa.int64())})
 
