@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexspark.llm import bpe, characters, languages, leaks, overlaps, packing, pairs, repeats, split, words
+from lexspark.llm import bpe, characters, languages, leaks, overlaps, packing, pairs, repeats, scans, split, words
 from lexspark.session import table
 
 
@@ -46,6 +46,19 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.groupBy("split", "kanun_short").agg(F.count("*").alias("pairs"), F.count_distinct("eval_id").alias("questions"), F.count_distinct("train_id").alias("training_rows"))
 
 
+def _articles(spark: SparkSession, folder: str) -> DataFrame:
+    madde = table(spark, folder, "madde")
+    return madde.select("row_id", F.col("kanun_full").alias("title"), F.explode(F.create_map(F.lit("metin"), "metin", F.lit("baslik"), "baslik")).alias("field", "text"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repair(_articles(spark, folder))[0]
+
+
+def p3_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return scans.repair(_articles(spark, folder))[1]
+
+
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
     documents, qa = table(spark, folder, "documents"), table(spark, folder, "synthetic_qa")
     texts = documents.select(F.lit("documents").alias("src"), F.col("doc_id").alias("text_id"), "text").unionByName(
@@ -132,7 +145,7 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("segments").alias("pos", "s")).select("doc_id", "pos", "s.*")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p4_found, p4_passages, p5_found, p6_found, p6_records, p7_found, p7_codes, p8_ids, p9_containers, p10_found, p10_languages, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p3_found, p3_texts, p4_found, p4_passages, p5_found, p6_found, p6_records, p7_found, p7_codes, p8_ids, p9_containers, p10_found, p10_languages, p10_segments)}
 
 
 ORACLE: dict[str, str] = {
