@@ -97,11 +97,13 @@ def features(lines: list[str], title: frozenset[str]) -> list[tuple[str, ...]]:
         return "stop" if tail in ".!?" else "hyphen" if tail in "-¬­" else "comma" if tail in ",;:" else "open"
 
     ends = [end(x) for x in lines]
+    # lines of a scan end at the same width, often within a sentence
+    layout = "w" if any(a in ("open", "hyphen") and f == "lower" for a, f in zip(ends, forms[1:])) else "p"
     out = []
     for i, line in enumerate(lines):
         before = ends[i - 1] if i else "begin"
         after = forms[i + 1].split("+")[0] if i + 1 < len(lines) else "none"
-        out.append((forms[i], "e" + ends[i], "b" + before, "a" + after, "w" + str(min(3, 4 * len(line) // (usual + 1)))))
+        out.append((forms[i], "e" + ends[i], "b" + before, "a" + after, layout + str(min(6, 7 * len(line) // (usual + 1)))))
     return out
 
 
@@ -114,7 +116,7 @@ def weak_labels(rows: list[tuple[str, ...]]) -> list[str]:
             out.append("page")
         elif f in ("title", "publication") or f == "capitals" and row[3] != "arow":
             out.append("both" if beside else "header")
-        elif row[1] == "estop" or row[3] in ("amarker", "arow", "anone") or f == "row":
+        elif row[3] in ("amarker", "arow", "anone") or f == "row" or row[1] == "estop" and row[4] not in ("w5", "w6"):
             out.append("end")
         else:
             out.append("body")
