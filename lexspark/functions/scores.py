@@ -69,10 +69,14 @@ def lcs(a: list[str], b: list[str]) -> int:
     return row.bit_count()
 
 
-@F.arrow_udf("int")
-def lcs_length(a: pa.Array, b: pa.Array) -> pa.Array:
+def lcs_length(pred: Column, gold: Column) -> Column:
     """Longest common subsequence of two token arrays; 0 for null."""
-    return pa.array([lcs(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+
+    @F.arrow_udf("int")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([lcs(x or [], y or []) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+
+    return run(pred, gold)
 
 
 def rouge_l(pred: Column, gold: Column, beta: float = 1.0) -> Column:

@@ -49,9 +49,12 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-@F.arrow_udf("string")
-def _nfkc(values: pa.Array) -> pa.Array:
-    return pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in values.to_pylist()], pa.string())
+def _nfkc(text: Column) -> Column:
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in values.to_pylist()], pa.string())
+
+    return run(text)
 
 
 #: Text of these characters alone is its own compatibility form.
