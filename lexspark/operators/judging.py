@@ -24,7 +24,7 @@ def judged(reply: Column) -> Column:
 def claims_of(answer: Column) -> Column:
     """The sentences of an answer without its citations."""
     bare = F.regexp_replace(F.coalesce(answer, F.lit("")), r"\[[^\]]*\]", "")
-    return F.filter(F.transform(F.split(bare, r"[.!?]+\s*"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(bare, r"[.!?]+\s*"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def overlap_verdicts(answer: Column, source: Column) -> Column:
