@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexspark.functions.text import ngrams
-
 
 def recall_at(retrieved: Column, gold: Column, k: int) -> Column:
     """Share of the gold ids among the first k; 0 without gold ids."""
@@ -31,30 +31,39 @@ def ndcg_at(retrieved: Column, gold: Column, k: int) -> Column:
     return F.when(F.size(own) > 0, total(gains) / total(ideal)).otherwise(F.lit(0.0))
 
 
-def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the intersection of two arrays as multisets."""
-    times = lambda words, w: F.size(F.filter(words, lambda x: x == w))
-    return F.aggregate(F.array_intersect(a, b), F.lit(0), lambda n, w: n + F.least(times(a, w), times(b, w)))
+def shared_grams(pred: Column, gold: Column, orders: int = 4) -> Column:
+    """Array of the sizes of the multiset intersections of 1-grams, 2-grams and so on. Counting is
+    linear in the tokens, which expressions over arrays are not."""
+
+    @F.arrow_udf("array<int>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        rows = []
+        for x, y in zip(a.to_pylist(), b.to_pylist()):
+            x, y = x or [], y or []
+            counts = [(Counter(zip(*(x[i:] for i in range(n)))), Counter(zip(*(y[i:] for i in range(n))))) for n in range(1, orders + 1)]
+            rows.append([(p & g).total() for p, g in counts])
+        return pa.array(rows, pa.list_(pa.int32()))
+
+    return run(pred, gold)
 
 
 def f1(overlap: Column, n_pred: Column, n_gold: Column) -> Column:
     return F.when((n_pred > 0) & (n_gold > 0) & (overlap > 0), 2.0 * overlap / (n_pred + n_gold)).otherwise(F.lit(0.0))
 
 
-def token_f1(pred: Column, gold: Column) -> Column:
-    """F1 of two token arrays as multisets; 0 if either is empty."""
-    return f1(multiset_overlap(pred, gold), F.size(pred), F.size(gold))
+def token_f1(shared: Column, n_pred: Column, n_gold: Column) -> Column:
+    """F1 of two token multisets from shared_grams and their sizes; 0 if either is empty."""
+    return f1(F.element_at(shared, 1), n_pred, n_gold)
 
 
-def bleu(pred: Column, gold: Column, orders: int = 4) -> Column:
-    """Sentence BLEU with one added on every order; 0 if a side is empty or the prediction has
-    fewer tokens than the highest order."""
+def bleu(shared: Column, n_pred: Column, n_gold: Column, orders: int = 4) -> Column:
+    """Sentence BLEU from shared_grams with one added on every order; 0 if a side is empty or the
+    prediction has fewer tokens than the highest order."""
     logs = F.lit(0.0)
     for n in range(1, orders + 1):
-        total = F.size(pred) - (n - 1)
-        logs = logs + F.ln((multiset_overlap(ngrams(pred, n), ngrams(gold, n)) + 1.0) / F.greatest(total + 1.0, F.lit(1.0)))
-    brevity = F.when(F.size(pred) < F.size(gold), F.exp(1.0 - F.size(gold) / F.greatest(F.size(pred), F.lit(1)))).otherwise(F.lit(1.0))
-    return F.when((F.size(pred) >= orders) & (F.size(gold) > 0), brevity * F.exp(logs / orders)).otherwise(F.lit(0.0))
+        logs = logs + F.ln((F.element_at(shared, n) + 1.0) / F.greatest(n_pred - (n - 2) * 1.0, F.lit(1.0)))
+    brevity = F.when(n_pred < n_gold, F.exp(1.0 - n_gold / F.greatest(n_pred, F.lit(1)))).otherwise(F.lit(1.0))
+    return F.when((n_pred >= orders) & (n_gold > 0), brevity * F.exp(logs / orders)).otherwise(F.lit(0.0))
 
 
 def lcs(a: list[str], b: list[str]) -> int:

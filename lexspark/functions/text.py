@@ -4,6 +4,7 @@ needs Unicode compatibility forms."""
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -34,6 +35,11 @@ CITATION = r"\[\s*([A-Za-zÇĞİÖŞÜçğıöşü0-9]+)\s+m\.?\s*([0-9A-Za-zç
 HEADING_LIMIT = 120
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), lambda x: f(x)), 1)
+
+
 def tr_lower(text: Column) -> Column:
     """Lower case with İ to i and I to ı."""
     return F.lower(F.translate(text, "İI", "iı"))
@@ -104,15 +110,18 @@ def clean_text(text: Column) -> Column:
 
 def trim_tail(text: Column) -> Column:
     """Cut at the earliest heading of a table that hangs on after the last article."""
-    at = [F.nullif(F.regexp_instr(text, F.lit(p)), F.lit(0)) for p in TAIL_MARKERS]
-    return F.rtrim(F.coalesce(F.left(text, F.least(*at) - 1), text), F.lit(" \n"))
+
+    def cut(x: Column) -> Column:
+        at = [F.nullif(F.regexp_instr(x, F.lit(p)), F.lit(0)) for p in TAIL_MARKERS]
+        return F.rtrim(F.coalesce(F.left(x, F.least(*at) - 1), x), F.lit(" \n"))
+
+    return let(text, cut)
 
 
 def paragraphs(text: Column) -> Column:
     """The numbered paragraphs of an article; the whole text if it has no number; empties dropped."""
     marked = F.split(F.regexp_replace(text, PARAGRAPH_START, "\x1e"), "\x1e")
-    own = F.slice(marked, 2, F.greatest(F.size(marked), F.lit(1)))
-    parts = F.when(F.size(marked) > 1, own).otherwise(marked)
+    parts = let(marked, lambda m: F.when(F.size(m) > 1, F.slice(m, 2, F.greatest(F.size(m), F.lit(1)))).otherwise(m))
     return F.filter(F.transform(parts, lambda p: F.trim(p, F.lit(" \n\t"))), lambda p: p != "")
 
 
@@ -135,12 +144,16 @@ def number_label(kind: Column, number: Column) -> Column:
 def heading_and_body(text: Column) -> Column:
     """struct(heading, body): a short first line that is no paragraph is the heading; if nothing
     follows it is the body as well."""
-    first = F.substring_index(text, "\n", 1)
-    rest = F.trim(F.substr(text, F.length(first) + 2), F.lit(" \n"))
-    is_heading = (first != "") & (F.length(first) < HEADING_LIMIT) & ~first.rlike(r"^[ \t]*\(\d+\)")
-    heading = F.trim(first)
-    body = F.when(is_heading, F.when(rest != "", rest).otherwise(heading)).otherwise(text)
-    return F.struct(F.when(is_heading, heading).alias("heading"), body.alias("body"))
+
+    def parts(x: Column) -> Column:
+        first = F.substring_index(x, "\n", 1)
+        rest = F.trim(F.substr(x, F.length(first) + 2), F.lit(" \n"))
+        is_heading = (first != "") & (F.length(first) < HEADING_LIMIT) & ~first.rlike(r"^[ \t]*\(\d+\)")
+        heading = F.trim(first)
+        body = F.when(is_heading, F.when(rest != "", rest).otherwise(heading)).otherwise(x)
+        return F.struct(F.when(is_heading, heading).alias("heading"), body.alias("body"))
+
+    return let(text, parts)
 
 
 def citations(text: Column) -> Column:

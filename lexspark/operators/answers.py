@@ -26,8 +26,8 @@ DUMMY = "(DUMMY) Verilen kaynaklara göre: "
 
 def overlap_score(question: Column, passage: Column) -> Column:
     """A stand-in for a cross-encoder: the share of the question's tokens in the passage."""
-    q, p = F.array_distinct(T.tokenize(question)), F.array_distinct(T.tokenize(passage))
-    return F.round(F.coalesce(F.size(F.array_intersect(q, p)) / F.nullif(F.size(q), F.lit(0)), F.lit(0.0)), PLACES)
+    share = T.let(F.array_distinct(T.tokenize(question)), lambda q: F.size(F.array_intersect(q, T.tokenize(passage))) / F.nullif(F.size(q), F.lit(0)))
+    return F.round(F.coalesce(share, F.lit(0.0)), PLACES)
 
 
 def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column] = overlap_score, top_k: int = 5, question: str = "question", passage: str = "text", order: tuple[str, ...] = ("rank",)) -> DataFrame:

@@ -47,14 +47,18 @@ def segment(laws: DataFrame, key: str, text: str, kind=T.article_kind) -> DataFr
     cleaned = laws.select(key, T.clean_text(F.col(text)).alias("_text")).where("_text is not null")
     parts = F.split(F.regexp_replace("_text", T.ARTICLE_START, "\x1e$1"), "\x1e")
     cut = cleaned.select(key, F.posexplode(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))).alias("pos", "_part"))
-    marked = cut.select(
-        key, "pos", F.regexp_extract("_part", T.ARTICLE_MARKER, 1).alias("_marker"), F.regexp_extract("_part", T.ARTICLE_MARKER, 2).alias("_no"),
-        T.trim_tail(F.trim(F.regexp_replace("_part", T.ARTICLE_MARKER, ""), F.lit(" \n"))).alias("_body"),
-    ).withColumn("_hb", T.heading_and_body(F.col("_body")))
-    kinds = marked.withColumn("madde_type", kind(F.col("_marker")))
-    return kinds.where("_hb.body <> ''").select(
-        key, "pos", T.number_label(F.col("madde_type"), F.col("_no")).alias("madde_no"), "madde_type", F.col("_hb.heading").alias("baslik"), F.col("_hb.body").alias("metin"), T.paragraphs(F.col("_hb.body")).alias("fikralar")
-    )
+
+    def article(part: Column) -> Column:
+        marker, number = (F.regexp_extract(part, T.ARTICLE_MARKER, i) for i in (1, 2))
+        body = T.trim_tail(F.trim(F.regexp_replace(part, T.ARTICLE_MARKER, ""), F.lit(" \n")))
+        return F.struct(kind(marker).alias("kind"), number.alias("number"), T.heading_and_body(body).alias("hb"))
+
+    # read in one expression, lest the steps are computed again for each column that uses them
+    rows = cut.select(key, "pos", F.explode(F.array(article(F.col("_part")))).alias("_a")).where("_a.hb.body <> ''")
+    return rows.select(
+        key, "pos", T.number_label(F.col("_a.kind"), F.col("_a.number")).alias("madde_no"), F.col("_a.kind").alias("madde_type"),
+        F.col("_a.hb.heading").alias("baslik"), F.col("_a.hb.body").alias("metin"), T.paragraphs(F.col("_a.hb.body")).alias("fikralar"),
+    )
 
 
 def render(articles: DataFrame) -> Column:

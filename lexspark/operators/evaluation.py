@@ -28,11 +28,13 @@ def retrieval_metrics(ranked: DataFrame, gold: DataFrame, depths: tuple[int, ...
 
 def answer_metrics(pairs: DataFrame, keys: list[str], pred: str = "pred", gold: str = "gold", rouge: bool = True) -> DataFrame:
     """keys with em, f1, bleu and rouge_l of two texts; null texts count as empty."""
-    tokens = pairs.select(*keys, T.normalize_tr(F.col(pred)).alias("_pn"), T.normalize_tr(F.col(gold)).alias("_gn"))
-    split = tokens.select("*", *[F.regexp_extract_all(c, F.lit(T.METRIC_TOKEN), 1).alias(n) for c, n in (("_pn", "_p"), ("_gn", "_g"))])
+    texts = pairs.select(*keys, T.normalize_tr(F.col(pred)).alias("_pn"), T.normalize_tr(F.col(gold)).alias("_gn"))
+    split = texts.select(*keys, (F.col("_pn") == F.col("_gn")).cast("double").alias("em"), *[F.regexp_extract_all(c, F.lit(T.METRIC_TOKEN), 1).alias(n) for c, n in (("_pn", "_p"), ("_gn", "_g"))])
     p, g = F.col("_p"), F.col("_g")
-    out = [(F.col("_pn") == F.col("_gn")).cast("double").alias("em"), F.round(S.token_f1(p, g), 6).alias("f1"), F.round(S.bleu(p, g), 6).alias("bleu")]
-    return split.select(*keys, *out, *([F.round(S.rouge_l(p, g), 6).alias("rouge_l")] if rouge else []))
+    counted = split.select(*keys, "em", F.size(p).alias("_np"), F.size(g).alias("_ng"), S.shared_grams(p, g).alias("_shared"), *([F.round(S.rouge_l(p, g), 6).alias("rouge_l")] if rouge else []))
+    sizes = F.col("_np"), F.col("_ng")
+    out = [F.round(S.token_f1(F.col("_shared"), *sizes), 6).alias("f1"), F.round(S.bleu(F.col("_shared"), *sizes), 6).alias("bleu")]
+    return counted.select(*keys, "em", *out, *(["rouge_l"] if rouge else []))
 
 
 def average_precision(scored: DataFrame, by: str = "query_id") -> DataFrame:

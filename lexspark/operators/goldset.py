@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexspark.functions import text as T
 from lexspark.operators.corpus import first_per_key
 from lexspark.operators.ranking import stratified_split
 
@@ -85,7 +86,7 @@ def report(checked: DataFrame, corpus_ids: DataFrame) -> DataFrame:
     """One row of counts over the merge."""
     rows = valid(checked)
     unique = merged(rows)
-    question = F.lower(F.trim(F.col("question")))
+    question = T.tr_lower(F.trim(F.col("question")))
     one = checked.agg(F.count_if(F.size("errors") == 0).alias("total_raw"), F.count_if(F.size("errors") > 0).alias("total_errors"))
     parts = [
         unique.agg(F.count("*").alias("unique_by_id")),

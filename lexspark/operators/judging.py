@@ -24,19 +24,17 @@ def judged(reply: Column) -> Column:
 def claims_of(answer: Column) -> Column:
     """The sentences of an answer without its citations."""
     bare = F.regexp_replace(F.coalesce(answer, F.lit("")), r"\[[^\]]*\]", "")
-    return F.filter(F.transform(F.split(bare, r"[.!?]+\s*"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(bare, r"[.!?]+\s*"), lambda s: F.trim(s)), lambda s: s.rlike(r"[\p{L}\p{N}]"))
 
 
 def overlap_verdicts(answer: Column, source: Column) -> Column:
     """A judge to test with: a claim is supported by the share of its tokens that the source has."""
-    have = F.array_distinct(T.tokenize(source))
 
-    def verdict(claim: Column) -> Column:
-        own = F.array_distinct(T.tokenize(claim))
-        share = F.coalesce(F.size(F.array_intersect(own, have)) / F.nullif(F.size(own), F.lit(0)), F.lit(0.0))
-        return F.struct(claim.alias("claim"), F.when(share >= SUPPORTED, "SUPPORTED").when(share >= PARTIAL, "PARTIAL").otherwise("UNSUPPORTED").alias("verdict"))
+    def verdict(claim: Column, have: Column) -> Column:
+        share = T.let(F.array_distinct(T.tokenize(claim)), lambda own: F.coalesce(F.size(F.array_intersect(own, have)) / F.nullif(F.size(own), F.lit(0)), F.lit(0.0)))
+        return T.let(share, lambda s: F.struct(claim.alias("claim"), F.when(s >= SUPPORTED, "SUPPORTED").when(s >= PARTIAL, "PARTIAL").otherwise("UNSUPPORTED").alias("verdict")))
 
-    return F.transform(claims_of(answer), verdict)
+    return T.let(F.array_distinct(T.tokenize(source)), lambda have: F.transform(claims_of(answer), lambda claim: verdict(claim, have)))
 
 
 def summary(scored: DataFrame, by: list[str], score: str = "faithfulness") -> DataFrame:

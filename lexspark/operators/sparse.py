@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
+from lexspark.session import cut, spread
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 PLACES = 6
@@ -34,10 +35,13 @@ class SparseIndex:
     @classmethod
     def build(cls, documents: DataFrame, text: str = "text", epsilon: float = EPSILON) -> SparseIndex:
         """Of documents(doc_id, text); doc_id unique. Empty texts count in n and the average."""
-        tokens = documents.select("doc_id", T.tokenize(F.col(text)).alias("tokens"))
-        docs = tokens.select("doc_id", F.size("tokens").alias("len"))
+        spread_out = spread(documents.select("doc_id", text), "doc_id")
+        tokens = spread_out.select("doc_id", F.explode_outer(T.tokenize(F.col(text))).alias("term"))
+        # one pass over the texts; an empty text keeps a row without a term
+        counted = cut(tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf")))
+        postings = counted.where("term is not null")
+        docs = counted.groupBy("doc_id").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("tf")).otherwise(0)).alias("len"))
         totals = docs.agg(F.count("*").alias("n"), F.avg("len").alias("average")).collect()[0]
-        postings = tokens.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
         df = postings.groupBy("term").agg(F.count("*").alias("df"))
         raw = df.withColumn("raw", F.ln(F.lit(totals["n"]) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw")).collect()[0][0] or 0.0

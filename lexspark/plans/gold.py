@@ -86,16 +86,16 @@ def gold_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""
     {_CHECKED} select (select count(*) from rows) as total_raw, (select count(*) filter (len(errors) > 0) from checked) as total_errors, (select count(*) from uniq) as unique_by_id,
-    (select count(*) from (select id from rows group by 1 having count(*) > 1)) as duplicate_ids, (select count(*) from (select lower(trim(question)) from rows group by 1 having count(*) > 1)) as duplicate_questions,
+    (select count(*) from (select id from rows group by 1 having count(*) > 1)) as duplicate_ids, (select count(*) from (select lower(translate(trim(question), 'İI', 'iı')) from rows group by 1 having count(*) > 1)) as duplicate_questions,
     (select count(*) from missing) as rows_with_missing_doc_ids, (select count(*) from usable) as splittable
 """)
 def gold_report(spark: SparkSession, folder: str) -> DataFrame:
     return G.report(cut(checked(spark, folder)), corpus_ids(spark, folder))
 
 
-@query("select lower(trim(question)) as key, count(*) as copies from dev_omer where question is not null group by 1 having count(*) > 1")
+@query("select lower(translate(trim(question), 'İI', 'iı')) as key, count(*) as copies from dev_omer where question is not null group by 1 having count(*) > 1")
 def duplicate_questions(spark: SparkSession, folder: str) -> DataFrame:
-    return repeated(table(spark, folder, "dev_omer").where("question is not null"), F.lower(F.trim("question")))
+    return repeated(table(spark, folder, "dev_omer").where("question is not null"), T.tr_lower(F.trim("question")))
 
 
 @query("""

@@ -39,7 +39,7 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
     own, ranked = gold(spark, folder), ranked_hits(spark, folder)
     lists = ranked.where("rank <= 10").groupBy("config", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
     joined = lists.join(own, "query_id").withColumn("gold", F.coalesce("gold_doc_ids", F.array()))
-    measured = joined.select("config", "query_id", "category", F.round(S.recall_at(F.col("ids"), F.col("gold"), 5), 6).alias("recall_5"), F.round(S.mrr_at(F.col("ids"), F.col("gold"), 10), 6).alias("mrr_10"))
+    measured = joined.select("config", "query_id", "category", S.recall_at(F.col("ids"), F.col("gold"), 5).alias("recall_5"), S.mrr_at(F.col("ids"), F.col("gold"), 10).alias("mrr_10"))
     return E.long_form(measured, ["config", "query_id", "category"], ["recall_5", "mrr_10"])
 
 
@@ -57,14 +57,14 @@ _FACTS = f"""
         union all select 'overlap', query_id, doc_id, row_number() over (partition by query_id order by overlap desc, first_rank, hit_id) from a),
     lists as (select config, query_id, list(doc_id order by rank) as ids from ranked where rank <= 10 group by 1, 2),
     g as (select config, query_id, category, ids, list_distinct(coalesce(gold_doc_ids, [])) as gold from lists join gold using (query_id)),
-    facts as (select config, query_id, category, 'recall_5' as metric, round(case when len(gold) = 0 then 0.0 else len(list_intersect(ids[:5], gold)) / len(gold) end, 6)::double as value from g
-        union all select config, query_id, category, 'mrr_10', round(coalesce(list_max([case when list_contains(gold, ids[i]) then 1.0::double / i end for i in range(1, 11)]), 0.0), 6)::double from g)
+    facts as (select config, query_id, category, 'recall_5' as metric, (case when len(gold) = 0 then 0.0 else len(list_intersect(ids[:5], gold)) / len(gold) end)::double as value from g
+        union all select config, query_id, category, 'mrr_10', coalesce(list_max([case when list_contains(gold, ids[i]) then 1.0::double / i end for i in range(1, 11)]), 0.0)::double from g)
 """
 
 
-@query(f"{_FACTS} select config, query_id, metric, value from facts")
+@query(f"{_FACTS} select config, query_id, metric, round(value, 6) as value from facts")
 def hit_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    return facts(spark, folder).drop("category")
+    return facts(spark, folder).select("config", "query_id", "metric", F.round("value", 6).alias("value"))
 
 
 @query(f"{_FACTS}, means as (select config, metric, round(avg(value), 6) as mean, count(value) as n from facts group by 1, 2) select c.config, metric, mean, coalesce(n, 0) as n, case when metric is null then 'missing' else 'ok' end as status from (select unnest(['first', 'score', 'overlap', 'absent']) as config) c left join means using (config)")
@@ -200,7 +200,7 @@ def gold_citations_compat(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _CLAIMS = f"""
-    c as (select qa_id, kanun_short, list_distinct({sql_tokens('madde_text')}) as have, list_filter([trim(x) for x in string_split_regex(regexp_replace(coalesce(answer, ''), '\\[[^\\]]*\\]', '', 'g'), '[.!?]+\\s*')], lambda x: x <> '') as claims from synthetic_qa),
+    c as (select qa_id, kanun_short, list_distinct({sql_tokens('madde_text')}) as have, list_filter([trim(x) for x in string_split_regex(regexp_replace(coalesce(answer, ''), '\\[[^\\]]*\\]', '', 'g'), '[.!?]+\\s*')], lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) as claims from synthetic_qa),
     v as (select qa_id, kanun_short, claims, [list_distinct({sql_tokens('x')}) for x in claims] as own, have from c),
     s as (select qa_id, kanun_short, [coalesce(len(list_intersect(o, have)) / nullif(len(o), 0), 0.0) for o in own] as shares from v),
     f as (select qa_id, kanun_short, len(shares) as claims, case when len(shares) > 0 then round(list_sum([case when x >= 0.8 then 1.0 when x >= 0.4 then 0.5 else 0.0 end for x in shares])::double / len(shares), 6) end as faithfulness from s)
