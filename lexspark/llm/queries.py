@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import bpe, characters, languages, leaks, overlaps, packing, pairs, repeats, scans, split, words
-from lexspark.session import table
+from lexspark.session import spread, table
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
@@ -47,7 +47,7 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _articles(spark: SparkSession, folder: str) -> DataFrame:
-    madde = table(spark, folder, "madde")
+    madde = spread(table(spark, folder, "madde").select("row_id", "kanun_full", "metin", "baslik"), "row_id")
     return madde.select("row_id", F.col("kanun_full").alias("title"), F.explode(F.create_map(F.lit("metin"), "metin", F.lit("baslik"), "baslik")).alias("field", "text"))
 
 
@@ -60,7 +60,8 @@ def p3_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:
-    documents, qa = table(spark, folder, "documents"), table(spark, folder, "synthetic_qa")
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text"), "doc_id")
+    qa = spread(table(spark, folder, "synthetic_qa").select("qa_id", "question", "answer"), "qa_id")
     texts = documents.select(F.lit("documents").alias("src"), F.col("doc_id").alias("text_id"), "text").unionByName(
         qa.select(F.lit("synthetic_qa").alias("src"), F.col("qa_id").alias("text_id"), F.explode(F.array("question", "answer")).alias("text"))
     )
@@ -79,7 +80,7 @@ def p4_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     dictionaries = languages.fit(table(spark, folder, "documents"), "doc_id", "text", "lang")
-    return pairs.defects(table(spark, folder, "synthetic_qa"), dictionaries)
+    return pairs.defects(spread(table(spark, folder, "synthetic_qa").select("qa_id", "question", "answer"), "qa_id"), dictionaries)
 
 
 def _records(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,16 +117,16 @@ def p7_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.token_ids(table(spark, folder, "documents"))
+    return bpe.token_ids(spread(table(spark, folder, "documents"), "doc_id"))
 
 
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").where(F.col("text").isNotNull())
-    return packing.containers(bpe.token_counts(documents))
+    return packing.containers(bpe.token_counts(spread(documents, "doc_id")))
 
 
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"), "doc_id")
     return languages.languages(languages.segments(documents, languages.fit(documents, "doc_id", "text", "lang")))
 
 
