@@ -193,4 +193,4 @@ def md5_bucket(key: Column, n: int) -> Column:
 
 
 def number_or_dash(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.4f", value), F.lit("—"))
+    return F.when(value.isNotNull(), F.format_string("%.4f", value)).otherwise(F.lit("—"))

@@ -36,7 +36,7 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def best_of_tasks(vectors: DataFrame, ids: list, queries: np.ndarray, k: int, probes: np.ndarray | None = None) -> DataFrame:
+def best_of_tasks(vectors: DataFrame, ids: list, id_kind: str, queries: np.ndarray, k: int, probes: np.ndarray | None = None) -> DataFrame:
     """The best of each task; with probes, only vectors(cell) in one of a query's cells."""
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast((queries, probes))
@@ -45,10 +45,10 @@ def best_of_tasks(vectors: DataFrame, ids: list, queries: np.ndarray, k: int, pr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q, cells = shared.value
-        kept_ids, kept = [], []
+        kept_ids, kept, key = [], [], None
         best: dict[int, list[tuple[float, object]]] = {}
         for batch in batches:
-            docs = batch.column(0).to_pylist()
+            docs, key = batch.column(0).to_pylist(), batch.column(0).type
             v = matrix(batch.column(1), width)
             scores = np.round(v @ q.T, PLACES)
             if cells is not None:
@@ -70,21 +70,21 @@ def best_of_tasks(vectors: DataFrame, ids: list, queries: np.ndarray, k: int, pr
                 kept_ids.append(j)
                 kept.append((d, s))
         if kept:
-            yield pa.RecordBatch.from_pydict({"q": pa.array(kept_ids, pa.int32()), "doc_id": [d for d, _ in kept], "score": pa.array([s for _, s in kept], pa.float64())})
+            yield pa.RecordBatch.from_pydict({"q": pa.array(kept_ids, pa.int32()), "doc_id": pa.array([d for d, _ in kept], key), "score": pa.array([s for _, s in kept], pa.float64())})
 
     columns = ["doc_id", "embedding"] + (["cell"] if probes is not None else [])
     found = vectors.where("embedding is not null").select(*columns).mapInArrow(run, f"q int, doc_id {kind}, score double")
-    names = spark.createDataFrame(list(enumerate(ids)), ["q", "query_id"])
+    names = spark.createDataFrame(list(enumerate(ids)), f"q int, query_id {id_kind}")
     return found.join(F.broadcast(names), "q").select("query_id", "doc_id", "score")
 
 
 def search(vectors: DataFrame, queries: DataFrame, top_k: int = 10, block: int = BLOCK) -> DataFrame:
     """(query_id, doc_id, score, rank): the exact best of vectors(doc_id, embedding) for each of
     queries(query_id, embedding) by inner product, ties by key. Null embeddings take no part."""
-    parts = [best_of_tasks(vectors, ids, q, top_k) for ids, q in query_blocks(queries, block)]
+    id_kind, key_kind = queries.schema["query_id"].dataType.simpleString(), vectors.schema["doc_id"].dataType.simpleString()
+    parts = [best_of_tasks(vectors, ids, id_kind, q, top_k) for ids, q in query_blocks(queries, block)]
     if not parts:
-        kinds = (queries.schema["query_id"].dataType.simpleString(), vectors.schema["doc_id"].dataType.simpleString())
-        return vectors.sparkSession.createDataFrame([], f"query_id {kinds[0]}, doc_id {kinds[1]}, score double, rank int")
+        return vectors.sparkSession.createDataFrame([], f"query_id {id_kind}, doc_id {key_kind}, score double, rank int")
     return top(functools.reduce(DataFrame.unionByName, parts), top_k)
 
 
@@ -125,11 +125,11 @@ def with_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 def search_cells(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, top_k: int = 10, probes: int = 4, block: int = BLOCK) -> DataFrame:
     """Like search, over the cells nearest to each query only: approximate. indexed is best stored
     partitioned by cell."""
-    parts = []
+    parts, id_kind = [], queries.schema["query_id"].dataType.simpleString()
     for ids, q in query_blocks(queries, block):
         near = np.argsort(-(q @ centres.T), axis=1)[:, :probes].astype(np.int32)
         wanted = indexed.where(F.col("cell").isin(*np.unique(near).tolist()))
-        parts.append(best_of_tasks(wanted, ids, q, top_k, near))
+        parts.append(best_of_tasks(wanted, ids, id_kind, q, top_k, near))
     return top(functools.reduce(DataFrame.unionByName, parts), top_k) if parts else search(indexed, queries, top_k)
 
 

@@ -21,7 +21,7 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
 def lines_with_numbers(spark: SparkSession, path: str, exclude: tuple[str, ...] = ("dev_full.jsonl", "test_full.jsonl")) -> DataFrame:
     """(file_name, line_no, line) of the files of a glob, line numbers from 1. A file is read whole,
     as only so its lines have numbers; gold files are small by nature."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("file_name"), F.explode(F.array("value")).alias("text"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.col("value").alias("text"))
     return files.where(~F.col("file_name").isin(*exclude)).select("file_name", F.posexplode(F.split("text", "\r?\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
