@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.llm import bpe, characters, languages, leaks, overlaps, packing, pairs, repeats, scans, split, words
+from lexspark.llm.oracle import ORACLE  # noqa: F401
 from lexspark.session import spread, table
 
 
@@ -147,14 +148,3 @@ def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p3_found, p3_texts, p4_found, p4_passages, p5_found, p6_found, p6_records, p7_found, p7_codes, p8_ids, p9_containers, p10_found, p10_languages, p10_segments)}
-
-
-ORACLE: dict[str, str] = {
-    "p1_found": """
-        select 'metin' as src, row_id, 0 as pos from madde where length(metin) > 1500
-        union all
-        select 'fikralar', row_id, (i - 1)::int from (select row_id, fikralar, unnest(range(1, len(fikralar) + 1)) as i from madde) where length(fikralar[i]) > 1500
-        union all
-        select 'hit', hit_id, 0 from hit where length(text) > 1500
-    """,
-}
