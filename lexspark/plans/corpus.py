@@ -9,7 +9,7 @@ from lexspark.functions import text as T
 from lexspark.operators import corpus as C
 from lexspark.operators import ranking as R
 from lexspark.plans.registry import CORPUS, INDEXING_TEXT, query, sql_tokens
-from lexspark.session import table
+from lexspark.session import spread, table
 
 
 @query(f"select row_id, len({sql_tokens('metin')}) as n_tokens, len(list_distinct({sql_tokens('metin')})) as n_distinct from madde")
@@ -20,7 +20,7 @@ def tokenize_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"select term, count(*) as n, count(distinct row_id) as articles from (select row_id, unnest({sql_tokens('metin')}) as term from madde) group by 1")
 def term_counts(spark: SparkSession, folder: str) -> DataFrame:
-    terms = table(spark, folder, "madde").select("row_id", F.explode(T.tokenize(F.col("metin"))).alias("term"))
+    terms = spread(table(spark, folder, "madde").select("row_id", "metin"), "row_id").select("row_id", F.explode(T.tokenize(F.col("metin"))).alias("term"))
     per_row = terms.groupBy("term", "row_id").agg(F.count("*").alias("n"))
     return per_row.groupBy("term").agg(F.sum("n").alias("n"), F.count("*").alias("articles"))
 
@@ -157,7 +157,7 @@ def marker_kinds(spark: SparkSession, folder: str) -> DataFrame:
 def segment_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     """Articles printed as a law prints them and parsed again; those whose text itself holds page
     furniture, markers or tables, which parsing has to change, are left to the unit tests."""
-    madde = table(spark, folder, "madde").where("metin <> '' and baslik <> '' and length(baslik) < 120")
+    madde = spread(table(spark, folder, "madde").where("metin <> '' and baslik <> '' and length(baslik) < 120"), "row_id")
     furniture = r"(?m)^[ \t]*\d+[ \t]*$|(?i)sayfa[ \t]*:|\n\n\n|[ \t]{2}|\t|\r|SAYILI\s+(CETVEL|L[İI]STE)|Nokta No|KOORD|(?m)^[ \t]*(MADDE|Madde)[ \t]+\d|^\s|\s$"
     kept = madde.where(~F.concat_ws("\n", "baslik", "metin").rlike(furniture) & ~F.col("baslik").rlike(r"\n|^[ .–(-]|\s$"))
     parsed = C.segment(kept.withColumn("law", C.render(kept)).select("row_id", "law"), "row_id", "law")

@@ -12,12 +12,16 @@ from lexspark.operators import corpus as C
 from lexspark.operators import evaluation as E
 from lexspark.operators import judging as J
 from lexspark.plans.registry import query, sql_tokens
-from lexspark.session import table
+from lexspark.session import spread, table
 
 CONFIGS = ["first", "score", "overlap", "absent"]
 ISOLATIONS = [("overlap", "first", "reranking"), ("score", "first", "sorting"), ("overlap", "absent", "missing")]
 
 
+def training(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(table(spark, folder, "synthetic_qa"), "qa_id")
+
+
 def gold(spark: SparkSession, folder: str) -> DataFrame:
     """Gold of each question id; of an id used again the first row, dev before test."""
     parts = [table(spark, folder, t).select(F.lit(i).alias("src"), "row_id", F.col("id").alias("query_id"), "question", "gold_doc_ids", "category") for i, t in enumerate(("dev_omer", "test_full"))]
@@ -140,12 +144,12 @@ _PAIRS = f"""
 """)
 def answer_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Answers against the text they were made from."""
-    return E.answer_metrics(table(spark, folder, "synthetic_qa"), ["qa_id"], "answer", "madde_text", rouge=False)
+    return E.answer_metrics(training(spark, folder), ["qa_id"], "answer", "madde_text", rouge=False)
 
 
 @query()
 def answer_rouge(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = table(spark, folder, "synthetic_qa").select("qa_id", T.tokens(F.col("answer")).alias("p"), T.tokens(F.col("madde_text")).alias("g"))
+    pairs = training(spark, folder).select("qa_id", T.tokens(F.col("answer")).alias("p"), T.tokens(F.col("madde_text")).alias("g"))
     return pairs.select("qa_id", F.round(S.rouge_l(F.col("p"), F.col("g")), 6).alias("rouge_l"))
 
 
@@ -209,7 +213,7 @@ _CLAIMS = f"""
 
 def _judged(spark: SparkSession, folder: str) -> DataFrame:
     """The answers with verdicts of the overlap judge, by way of the JSON a judge would reply."""
-    verdicts = table(spark, folder, "synthetic_qa").select("qa_id", "kanun_short", J.overlap_verdicts(F.col("answer"), F.col("madde_text")).alias("claims"))
+    verdicts = training(spark, folder).select("qa_id", "kanun_short", J.overlap_verdicts(F.col("answer"), F.col("madde_text")).alias("claims"))
     reply = F.concat(F.lit("Değerlendirme:\n```json\n"), F.to_json(F.struct("claims")), F.lit("\n```"))
     judged = verdicts.select("qa_id", "kanun_short", J.judged(reply).alias("j"))
     return judged.select("qa_id", "kanun_short", F.size("j.claims").cast("bigint").alias("claims"), F.round("j.faithfulness", 6).alias("faithfulness"))
