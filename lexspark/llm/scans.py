@@ -40,7 +40,8 @@ DATED = re.compile(r"\d")
 MARKER = re.compile(r"\s*(?:\(\d+\)|[a-zçğıöşü]{1,2}\)|\([IVX]+\)|MADDE\s|Madde\s|\d+[.)]\s)")
 ROW = re.compile(r"\s*\d+\s.*\d[,.]\d+\s*$|.*[|;].*\d|\s*\w+ [XY] [XY]\s*$|\s*\d+(?:[.,]\d+)?(?:\s+\d+[.,]\d+)+\s*$")
 WORD = re.compile(r"[^\W_]+(?:(?<=[^\W\d_])\|(?=[^\W\d_])[^\W_]+)*")
-SPLIT = re.compile(r"(?<=[^\W\d_])[-¬­‐][ \t]*\n\s*(?=[^\W\d_])")
+DIVIDERS = ("-", "¬", "\u00ad", "\u2010")
+SPLIT = re.compile(r"(?<=[^\W\d_])[-¬\u00ad\u2010][ \t]*\n\s*(?=[^\W\d_])")
 BROKEN = re.compile(r"[^\s.;:,!?)]\s*\n\s*[a-zçğıöşü](?!\))")
 COMMA = re.compile(r"(?<=[^\W\d_])([sc]),(?=[^\W\d_])")
 LEXICAL = re.compile(r"[^\W\d_]")
@@ -75,8 +76,8 @@ def form(line: str, title: frozenset[str]) -> str:
         return "marker"
     if ROW.match(bare):
         return "row"
-    low = lower(bare)
     if len(bare) <= 120 and bare[-1:] not in ".;,:":
+        low = lower(bare)
         if title_share(bare, title) >= 0.6 and ("kanun" in low or bare.isupper() or len(title) < 3):
             return "title" + beside
         if PUBLICATION.search(low) and DATED.search(bare) and capital_share(bare) >= 0.6:
@@ -170,12 +171,15 @@ class LineModel:
         """The likeliest labels of the lines of an article."""
         rows = features(lines, title)
         scores, back = self.start, []
+        states = range(len(STATES))
+        into = list(zip(*self.step))  # into[b][a]: from a to b
         for i, row in enumerate(rows):
             own = [sum(x) for x in zip(*(self.seen(k, v) for k, v in enumerate(row)))]
             if i:
-                came = [max(range(len(STATES)), key=lambda a: scores[a] + self.step[a][b]) for b in range(len(STATES))]
-                back.append(came)
-                scores = [scores[came[b]] + self.step[came[b]][b] + own[b] for b in range(len(STATES))]
+                sums = [[s + t for s, t in zip(scores, into[b])] for b in states]
+                best = [max(x) for x in sums]
+                back.append([x.index(m) for x, m in zip(sums, best)])
+                scores = [m + o for m, o in zip(best, own)]
             else:
                 scores = [a + b for a, b in zip(scores, own)]
         path = [max(range(len(STATES)), key=scores.__getitem__)]
@@ -203,7 +207,7 @@ def repaired(text: str, title: str | None, model: LineModel) -> tuple[str, set[s
     for i, (line, state) in enumerate(kept):
         out.append(line)
         after = kept[i + 1][0] if i + 1 < len(kept) else ""
-        divided = SPLIT.search(line.rstrip() + "\n" + after.lstrip()) is not None and after.lstrip()[:1].islower()
+        divided = line.rstrip()[-1:] in DIVIDERS and after.lstrip()[:1].islower() and SPLIT.search(line.rstrip() + "\n" + after.lstrip()) is not None
         if divided:
             kinds.add("hyphen")
             out[-1] = line.rstrip()[:-1] + "\x00"
@@ -239,7 +243,11 @@ def candidates(word: str) -> set[str]:
 
 def words(text: str) -> list[str]:
     """Words in lower case, with the commas that stand for a cedilla as part of them."""
-    return WORD.findall(lower(COMMA.sub(lambda m: "ş" if m.group(1) == "s" else "ç", text)))
+    return WORD.findall(lower(uncomma(text)))
+
+
+def uncomma(text: str) -> str:
+    return COMMA.sub(lambda m: "ş" if m.group(1) == "s" else "ç", text) if "s," in text or "c," in text else text
 
 
 def lexicon(texts: DataFrame) -> DataFrame:
@@ -251,9 +259,10 @@ def lexicon(texts: DataFrame) -> DataFrame:
             seen, unbroken = Counter(), Counter()
             for text in batch.column(0).to_pylist():
                 if text:
-                    own = words(SPLIT.sub("", text_form(text)))
+                    lines = "\n" in text
+                    own = words(SPLIT.sub("", text_form(text)) if lines else text_form(text))
                     seen.update(own)
-                    if len(text) >= 200 and not BROKEN.search(text):
+                    if len(text) >= 200 and not (lines and BROKEN.search(text)):
                         unbroken.update(own)
             yield pa.RecordBatch.from_pydict({"word": pa.array(list(seen), pa.string()), "n": pa.array(list(seen.values()), pa.int64()), "plain": pa.array([unbroken[w] for w in seen], pa.int64())})
 
@@ -313,7 +322,7 @@ def repair(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             texts_, kinds_, rare_ = [], [], []
             for text, title in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 fixed, kinds = repaired(text, title, model)
-                if COMMA.search(fixed):
+                if uncomma(fixed) != fixed:
                     kinds.add("misread")
                 own = set(words(fixed)) - usual
                 if any(strange(w) for w in own):
@@ -352,4 +361,4 @@ def mended(text: str, fixes: dict[str, str]) -> str:
             return m.group()
         return found.upper() if m.group().isupper() and len(found) > 1 else ("İ" if found[0] == "i" else found[0].upper()) + found[1:] if m.group()[0].isupper() else found
 
-    return WORD.sub(right, COMMA.sub(lambda m: "ş" if m.group(1) == "s" else "ç", text))
+    return WORD.sub(right, uncomma(text))
