@@ -2,8 +2,11 @@
 
 The held-out items are a stated query set. Their distinct passages go out in blocks of a bounded
 number of words; each task builds one Aho-Corasick automaton over the normalised passages of a
-block and scans every text once. A word of the passages is one symbol of the automaton, any
-other word a symbol that occurs in no passage; matches are mapped back to character offsets.
+block and scans every text once. A word of the passages is a number of a few digits, each place
+with an alphabet of its own, so that nodes have few children and matches begin and end with words;
+any other word is blank. The automaton holds the aligned pieces of half the
+least length: every run of the least length holds one, and where one matches, the run is extended
+both ways, exactly. Matches are mapped back to character offsets.
 """
 
 from __future__ import annotations
@@ -19,27 +22,40 @@ from pyspark.sql import functions as F
 from lexspark.llm import words as W
 
 LEAST_WORDS = 8
-BLOCK_WORDS = 400_000
+BLOCK_WORDS = 1_000_000  # also bounds the words of a block to what the digits can tell apart
+DIGITS, BASE = 4, 32
+
+
+class Codes(dict):
+    """Symbols of words; all words that have none share a blank that no passage has."""
+
+    def __missing__(self, word: str) -> str:
+        return " " * DIGITS
+
+    def add(self, word: str) -> str:
+        if word not in self:
+            n = len(self)
+            self[word] = "".join(chr(0x100 + BASE * k + n // BASE**k % BASE) for k in reversed(range(DIGITS)))
+        return self[word]
 
 
 class Passages:
-    """The automaton over all runs of so many words of some passages."""
+    """The automaton over the aligned pieces of some passages."""
 
     def __init__(self, passages: list[tuple[int, str]], least: int):
-        self.least = least
-        codes: dict[str, str] = {}
-        self.code = codes.get
-        found: dict[str, list[int]] = {}
+        self.least, self.piece = DIGITS * least, DIGITS * max(1, least // 2)
+        codes = Codes()
+        self.code = codes.__getitem__
+        self.symbols: dict[int, str] = {}
+        found: dict[str, list[tuple[int, int]]] = {}
         for key, text in passages:
-            # code points from 33 on, without the surrogates
-            symbols = "".join(codes.setdefault(w, chr(n if (n := 33 + len(codes)) < 0xD800 else n + 0x800)) for w in text.split(" "))
-            for i in range(len(symbols) - least + 1):
-                keys = found.setdefault(symbols[i : i + least], [])
-                if not keys or keys[-1] != key:
-                    keys.append(key)
+            own = "".join(map(codes.add, text.split(" ")))
+            self.symbols[key] = own
+            for i in range(0, len(own) - self.piece + 1, self.piece):
+                found.setdefault(own[i : i + self.piece], []).append((key, i))
         self.automaton = ahocorasick.Automaton()
-        for window, keys in found.items():
-            self.automaton.add_word(window, keys)
+        for piece, places in found.items():
+            self.automaton.add_word(piece, places)
         if found:
             self.automaton.make_automaton()
 
@@ -48,23 +64,22 @@ class Passages:
         if not text or not len(self.automaton):
             return []
         folded = W.fold(text)
-        line = "".join(self.code(w, " ") for w in W.WORD.findall(folded))
-        open_runs: dict[int, list[int]] = {}
-        done: list[tuple[int, int, int]] = []
-        for last, keys in self.automaton.iter(line):
-            for key in keys:
-                run = open_runs.get(key)
-                if run and run[1] == last - 1:
-                    run[1] = last
-                else:
-                    if run:
-                        done.append((key, *run))
-                    open_runs[key] = [last - self.least + 1, last]
-        done += [(key, *run) for key, run in open_runs.items()]
+        line = "".join(map(self.code, W.WORD.findall(folded)))
+        done: set[tuple[int, int, int]] = set()
+        for last, places in self.automaton.iter(line):
+            first = last - self.piece + 1
+            for key, at in places:
+                own, a, b, i, j = self.symbols[key], first, last + 1, at, at + self.piece
+                while i and a and own[i - DIGITS : i] == line[a - DIGITS : a]:
+                    i, a = i - DIGITS, a - DIGITS
+                while j < len(own) and b < len(line) and own[j : j + DIGITS] == line[b : b + DIGITS]:
+                    j, b = j + DIGITS, b + DIGITS
+                if b - a >= self.least:
+                    done.add((key, a, b))
         if not done:
             return []
         spans = [m.span() for m in W.WORD.finditer(folded)]
-        return [(key, spans[a][0], spans[b][1]) for key, a, b in done]
+        return [(key, spans[a // DIGITS][0], spans[b // DIGITS - 1][1]) for key, a, b in sorted(done)]
 
 
 @functools.lru_cache(maxsize=1)
@@ -84,7 +99,7 @@ def passage_table(items: DataFrame, item_col: str, text_cols: list[str], least:
 def leaks(texts: DataFrame, items: DataFrame, item_col: str, text_cols: list[str], least: int = LEAST_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(src, text_id, item_id, start, end): every run of at least so many consecutive words of an
     item's text that stands consecutively in texts(src, text_id, text), as character offsets of the
-    stored text. Null, empty and shorter texts have none; an item whose texts share a run, or equal
+    stored text. Runs of one passage may lie over one another where it repeats words. Null, empty and shorter texts have none; an item whose texts share a run, or equal
     items, give a row each; item_col must be an integer that is unique."""
     spark = texts.sparkSession
     table = passage_table(items, item_col, text_cols, least)
