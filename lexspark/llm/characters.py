@@ -116,6 +116,7 @@ def transducers() -> tuple[Transducer, Transducer]:
     """Without and with the look-alikes; an accent on a look-alike goes to the Latin letter."""
     mapping = dict(cluster_map())
     accented = {other + m: unicodedata.normalize("NFC", latin + m) for other, latin in LOOK_ALIKES.items() for m in MARKS}
+    accented |= {unicodedata.normalize("NFC", k): v for k, v in accented.items()}
     accented = {k: "i" if v == "i\u0307" else v for k, v in accented.items() if len(v) == 1 or v == "i\u0307"}
     return Transducer(mapping), Transducer(mapping | accented | LOOK_ALIKES)
 
@@ -150,7 +151,12 @@ def consistent(text: str | None, code: bool = False) -> str | None:
     plain, full = transducers()
     if code:
         return full(text).strip()
-    return plain(WORD.sub(lambda m: word_form(m.group()), text))
+
+    def form(m: re.Match) -> str:
+        # one letter before a bracket marks a list, whatever its script seems to be
+        return full(m.group()) if len(m.group().rstrip(MARKS)) == 1 and text[m.end() : m.end() + 1] == ")" else word_form(m.group())
+
+    return plain(WORD.sub(form, text))
 
 
 def consistent_form(column: Column, code: bool = False) -> Column:

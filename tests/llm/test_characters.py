@@ -7,6 +7,7 @@ CASES = {
     "önce bu": "önce bu",
     "kаnаllı": "kanallı",
     "νе": "ve",
+    "\nс) Kum, ӧnce": "\nc) Kum, önce",
     "a­b​c": "abc",
     "ﬁdan": "fidan",
     "i̇yi": "iyi",
