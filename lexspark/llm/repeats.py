@@ -64,17 +64,23 @@ def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def repeat_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Bits set where two or more records fall, over all partitions."""
+    """Packed bits, set where two or more records fall, over all partitions."""
+    size = min(CHUNK, bits) // 8
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(bits, dtype=bool), np.zeros(bits, dtype=bool)
+        once, again = np.zeros(bits // 8, dtype=np.uint8), np.zeros(bits // 8, dtype=np.uint8)
         for batch in batches:
             at, n = np.unique(positions(batch.column(0).to_numpy(), bits), return_counts=True)
-            again[at] |= once[at] | (n > 1)
-            once[at] = True
-        for k in np.flatnonzero(once.reshape(-1, min(CHUNK, bits)).any(axis=1)):
-            part = slice(k * CHUNK, k * CHUNK + min(CHUNK, bits))
-            yield pa.RecordBatch.from_pydict({"chunk": [int(k)], "once": [np.packbits(once[part]).tobytes()], "again": [np.packbits(again[part]).tobytes()]})
+            if not len(at):
+                continue
+            byte, mask = at >> 3, (128 >> (at & 7)).astype(np.uint8)
+            repeated = np.where((n > 1) | ((once[byte] & mask) != 0), mask, 0).astype(np.uint8)
+            starts = np.flatnonzero(np.diff(byte, prepend=-1))
+            again[byte[starts]] |= np.bitwise_or.reduceat(repeated, starts)
+            once[byte[starts]] |= np.bitwise_or.reduceat(mask, starts)
+        for k in np.flatnonzero(once.reshape(-1, size).any(axis=1)):
+            part = slice(k * size, (k + 1) * size)
+            yield pa.RecordBatch.from_pydict({"chunk": [int(k)], "once": [once[part].tobytes()], "again": [again[part].tobytes()]})
 
     def merge(parts: pa.Table) -> pa.Table:
         once, again = 0, 0
@@ -87,9 +93,8 @@ def repeat_filter(hashes: DataFrame, bits: int) -> np.ndarray:
     merged = filled.groupBy("chunk").applyInArrow(merge, "chunk bigint, again binary")
     out = np.zeros(bits // 8, dtype=np.uint8)
     for row in merged.toLocalIterator():
-        part = np.frombuffer(row["again"], np.uint8)
-        out[row["chunk"] * CHUNK // 8 :][: len(part)] = part
-    return np.unpackbits(out).astype(bool)
+        out[row["chunk"] * size :][:size] = np.frombuffer(row["again"], np.uint8)
+    return out
 
 
 def collapse(records: DataFrame, row_col: str, by: list[str], group: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +109,7 @@ def collapse(records: DataFrame, row_col: str, by: list[str], group: list[str] |
     keyed = cut(keyed.withColumn("_h", F.xxhash64(*group, *keys)))
     n = keyed.count()
     bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
-    shared = spark.sparkContext.broadcast(np.packbits(repeat_filter(keyed.select("_h"), bits)))
+    shared = spark.sparkContext.broadcast(repeat_filter(keyed.select("_h"), bits))
 
     @F.arrow_udf("boolean")
     def may_repeat(column: pa.Array) -> pa.Array:
