@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lexspark.operators.sparse import PLACES, top
 
-BLOCK = 4096
+BLOCK = 1024
 SAMPLE = 20_000
 
 
@@ -37,7 +37,7 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def best_of_tasks(vectors: DataFrame, ids: list, id_kind: str, queries: np.ndarray, k: int, probes: np.ndarray | None = None) -> DataFrame:
-    """The best of each task; with probes, only vectors(cell) in one of a query's cells."""
+    """The best of each task; with probes(query, cell), only vectors(cell) in a cell of the query."""
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast((queries, probes))
     kind = vectors.schema["doc_id"].dataType.simpleString()
@@ -52,8 +52,7 @@ def best_of_tasks(vectors: DataFrame, ids: list, id_kind: str, queries: np.ndarr
             v = matrix(batch.column(1), width)
             scores = np.round(v @ q.T, PLACES)
             if cells is not None:
-                own = batch.column(2).to_numpy()
-                scores = np.where((cells[None, :, :] == own[:, None, None]).any(axis=2), scores, -np.inf)
+                scores = np.where(cells[:, batch.column(2).to_numpy()].T, scores, -np.inf)
             for j in range(q.shape[0]):
                 s = scores[:, j]
                 if len(s) > k:  # keep ties at the edge, they are ranked by key later
@@ -127,9 +126,11 @@ def search_cells(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, to
     partitioned by cell."""
     parts, id_kind = [], queries.schema["query_id"].dataType.simpleString()
     for ids, q in query_blocks(queries, block):
-        near = np.argsort(-(q @ centres.T), axis=1)[:, :probes].astype(np.int32)
-        wanted = indexed.where(F.col("cell").isin(*np.unique(near).tolist()))
-        parts.append(best_of_tasks(wanted, ids, id_kind, q, top_k, near))
+        near = np.argsort(-(q @ centres.T), axis=1)[:, :probes]
+        probed = np.zeros((len(ids), len(centres)), dtype=bool)
+        np.put_along_axis(probed, near, True, axis=1)
+        wanted = indexed.where(F.col("cell").isin(*np.flatnonzero(probed.any(axis=0)).tolist()))
+        parts.append(best_of_tasks(wanted, ids, id_kind, q, top_k, probed))
     return top(functools.reduce(DataFrame.unionByName, parts), top_k) if parts else search(indexed, queries, top_k)
 
 

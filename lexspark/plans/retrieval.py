@@ -117,11 +117,12 @@ def dense_label_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def dense_cells_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Per query the share of the exact first ten that the index of cells finds."""
+    """Per query the share of the exact first ten that the index of cells finds. These vectors have
+    little structure: it takes 40 of 64 cells to find 95 % of them."""
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = vectors.where(F.col("doc_id") % QUERY_EVERY == 0).withColumnRenamed("doc_id", "query_id")
-    centres = dense.fit_cells(vectors, 16)
-    near = dense.search_cells(dense.with_cells(vectors, centres), centres, asked, probes=8)
+    centres = dense.fit_cells(vectors, 64)
+    near = dense.search_cells(dense.with_cells(vectors, centres), centres, asked, probes=40)
     exact = dense.search(vectors, asked)
     found = exact.join(near.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
     return found.groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
