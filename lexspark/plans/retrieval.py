@@ -118,7 +118,7 @@ def dense_label_metrics(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def dense_cells_recall(spark: SparkSession, folder: str) -> DataFrame:
     """Per query the share of the exact first ten that the index of cells finds. These vectors have
-    little structure: it takes 40 of 64 cells to find 95 % of them."""
+    little structure: it takes 40 of 64 cells to find well over nine in ten of them."""
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = vectors.where(F.col("doc_id") % QUERY_EVERY == 0).withColumnRenamed("doc_id", "query_id")
     centres = dense.fit_cells(vectors, 64)
