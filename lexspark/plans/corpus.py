@@ -155,8 +155,8 @@ def marker_kinds(spark: SparkSession, folder: str) -> DataFrame:
     select row_id, 0 as pos, case madde_type when 'gecici' then 'Geçici ' when 'ek' then 'Ek ' else '' end || no as madde_no, madde_type, baslik, md5(metin) as metin from r
 """)
 def segment_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Articles printed as a law prints them and parsed again; those whose text itself holds page
-    furniture, markers or tables, which parsing has to change, are left to the unit tests."""
+    """Articles printed as a law prints them and parsed again, those that parsing does not have to
+    change, so that SQL can state the result; segment_articles has every article with a text."""
     madde = spread(table(spark, folder, "madde").where("metin <> '' and baslik <> '' and length(baslik) < 120"), "row_id")
     furniture = r"(?m)^[ \t]*\d+[ \t]*$|(?i)sayfa[ \t]*:|\n\n\n|[ \t]{2}|\t|\r|SAYILI\s+(CETVEL|L[İI]STE)|Nokta No|KOORD|(?m)^[ \t]*(MADDE|Madde)[ \t]+\d|^\s|\s$"
     kept = madde.where(~F.concat_ws("\n", "baslik", "metin").rlike(furniture) & ~F.col("baslik").rlike(r"\n|^[ .–(-]|\s$"))
@@ -164,6 +164,15 @@ def segment_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return parsed.select("row_id", "pos", "madde_no", "madde_type", "baslik", F.md5("metin").alias("metin"))
 
 
+@query()
+def segment_articles(spark: SparkSession, folder: str) -> DataFrame:
+    """Every article with a text, printed as a law prints it and parsed: page furniture, tables,
+    markers within the text, long and missing headings included."""
+    madde = spread(table(spark, folder, "madde").where("metin <> ''"), "row_id")
+    parsed = C.segment(madde.withColumn("law", C.render(madde)).select("row_id", "law"), "row_id", "law")
+    return parsed.select("row_id", "pos", "madde_no", "madde_type", "baslik", F.md5("metin").alias("metin"), F.size("fikralar").cast("bigint").alias("n_fikra"), F.md5(F.array_join("fikralar", "|")).alias("fikralar"))
+
+
 @query("""
     with c as (select doc_id, string_split(regexp_replace(text, '(?m)^[ \\t]*((?:(?:GEÇİCİ|Geçici|GECICI|Gecici|EK|Ek)[ \\t]+)?(?:MADDE|Madde)[ \\t]+\\d+)', chr(30) || '\\1', 'g'), chr(30)) as s from documents where text is not null),
     u as (select doc_id, s, unnest(range(2, len(s) + 1)) as i from c)
