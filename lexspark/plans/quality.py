@@ -14,7 +14,8 @@ from lexspark.operators import judging as J
 from lexspark.plans.registry import query, sql_tokens
 from lexspark.session import spread, table
 
-CONFIGS = ["first", "score", "overlap", "absent"]
+ORDERS = ["first", "score", "overlap"]
+CONFIGS = [*ORDERS, "absent"]
 ISOLATIONS = [("overlap", "first", "reranking"), ("score", "first", "sorting"), ("overlap", "absent", "missing")]
 
 
@@ -39,10 +40,12 @@ def ranked_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
-    """(config, query_id, category, metric, value) of every question that has hits."""
+    """(config, query_id, category, metric, value) of every gold question under each configuration
+    that ran; a question without hits scores 0."""
     own, ranked = gold(spark, folder), ranked_hits(spark, folder)
+    ran = F.explode(F.array(*[F.lit(c) for c in ORDERS])).alias("config")
     lists = ranked.where("rank <= 10").groupBy("config", "query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ids"))
-    joined = lists.join(own, "query_id").withColumn("gold", F.coalesce("gold_doc_ids", F.array()))
+    joined = own.select("*", ran).join(lists, ["config", "query_id"], "left").withColumns({"ids": F.coalesce("ids", F.array()), "gold": F.coalesce("gold_doc_ids", F.array())})
     measured = joined.select("config", "query_id", "category", S.recall_at(F.col("ids"), F.col("gold"), 5).alias("recall_5"), S.mrr_at(F.col("ids"), F.col("gold"), 10).alias("mrr_10"))
     return E.long_form(measured, ["config", "query_id", "category"], ["recall_5", "mrr_10"])
 
