@@ -121,8 +121,11 @@ def with_cells(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     return vectors.withColumn("cell", cell("embedding"))
 
 
-def search_cells(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, top_k: int = 10, probes: int = 4, block: int = BLOCK) -> DataFrame:
-    """Like search, over the cells nearest to each query only: approximate. indexed is best stored
+def search_cells(indexed: DataFrame, centres: np.ndarray, queries: DataFrame, top_k: int = 10, *, probes: int, block: int = BLOCK) -> DataFrame:
+    """Like search, over the probes cells nearest to each query only: approximate. What share of the
+    cells a recall takes depends on the vectors, so there is no default: of 64 cells over the 2,000
+    embeddings of sf0.1, 4 found 0.42 of the exact first ten, 8 found 0.57, 16 0.73, 32 0.88, 36 0.92,
+    40 0.94, all of them 1. Measure it on a sample of queries against search. indexed is best stored
     partitioned by cell."""
     parts, id_kind = [], queries.schema["query_id"].dataType.simpleString()
     for ids, q in query_blocks(queries, block):
