@@ -7,6 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexspark.functions import scores, text
 from lexspark.operators import answers, corpus, evaluation, goldset, judging, mining
 from lexspark.operators.search import MODES, Retriever, candidate_depth
 from lexspark.operators.sparse import SparseIndex
@@ -40,9 +41,13 @@ def run_eval(spark: SparkSession, a: argparse.Namespace) -> None:
         hits = answers.rerank(hits.join(gold.select("query_id", "question"), "query_id"), top_k=max(a.top_k, 10))
     ranked = hits.select("query_id", "doc_id", (F.col("rank") + 1).alias("rank"))
     metrics = evaluation.retrieval_metrics(ranked, gold)
-    contexts = answers.context(hits.where(F.col("rank") < a.top_k)).join(gold, "query_id")
-    replies = contexts.select("query_id", "gold", answers.dummy_answer(answers.prompt(F.col("question"), F.col("context"))).alias("pred"))
-    rows = metrics.join(evaluation.answer_metrics(replies, ["query_id"]), "query_id", "left").join(gold.select("query_id", "category"), "query_id")
+    contexts = gold.join(answers.context(hits.where(F.col("rank") < a.top_k)), "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    replies = contexts.select("query_id", "gold", "gold_citations", answers.dummy_answer(answers.prompt(F.col("question"), F.col("context"))).alias("pred"))
+    # a JSON file without any pair is read as another type
+    pairs = F.col("gold_citations") if gold.schema["gold_citations"].dataType.simpleString().startswith("array<array") else F.lit(None).cast("array<array<string>>")
+    cited = replies.select("query_id", scores.citation_scores(text.citations(F.col("pred")), text.citation_keys(pairs)).alias("x"))
+    cited = cited.select("query_id", *[F.round(f"x.{n}", 6).alias(f"cit_{n}") for n in ("p", "r", "f1")])
+    rows = metrics.join(evaluation.answer_metrics(replies, ["query_id"]), "query_id", "left").join(cited, "query_id", "left").join(gold.select("query_id", "category"), "query_id")
     files.write_json_lines(rows, f"{a.out}/per_example")
     names = [c for c in rows.columns if c not in ("query_id", "category")]
     facts = evaluation.long_form(spark.read.json(f"{a.out}/per_example").withColumn("config", F.lit(a.config)).select("config", "query_id", "category", *names), ["config", "query_id", "category"], names)
