@@ -51,3 +51,16 @@ def nearest_rank(df: DataFrame, value: Column, shares: list[float]) -> DataFrame
     ranked = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(Window.partitionBy()))
     wanted = ranked.select("*", F.explode(F.array(*map(F.lit, shares))).alias("share"))
     return wanted.where(F.col("upto") > F.floor(F.col("total") * F.col("share"))).groupBy("share").agg(F.min("value").alias("value"))
+
+
+def join_groups(members: DataFrame, groups: DataFrame, keys: list[str], size: str, rows: int = 100_000) -> DataFrame:
+    """members joined with groups(keys, size, ...) on the keys, size being how many members a key has.
+    Members of a key of more than so many are spread over salts, and the key's rows in groups
+    repeated for each; that few keys can be so large bounds what is broadcast. members and groups
+    are read more than once; keys of null match nothing."""
+    bound = max(rows, members.count() // 10_000)  # fewer than 10,000 keys can have more members
+    salts = F.greatest(F.ceil(F.col(size) / bound), F.lit(1)).cast("int")
+    large = groups.where(F.col(size) > bound).select(*keys, salts.alias("_salts")).distinct()
+    salted = members.join(F.broadcast(large), keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*members.columns), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    repeated = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    return salted.join(repeated, [*keys, "_salt"]).drop("_salt")
