@@ -1,13 +1,16 @@
 """Collapsing records that differ only in formatting (problem 6).
 
-Each record is reduced to a canonical form and hashed. Every partition fills two Bloom filters,
-of hashes it saw once and of hashes it saw again; merged, a hash seen once in two partitions
-counts as seen again. Only rows that the merged filter says may repeat are shuffled and grouped
+Each record is reduced to a canonical form and hashed. Every partition notes, in two Bloom filters,
+the hashes it saw once and those it saw again; merged, a hash seen once in two partitions counts as
+seen again. The filters grow with the records: the hashes fall into as many blocks as it takes, each
+with filters of its own of at most so many bits, and a partition sends the positions it set, not
+whole filters. Only rows that the filter of their block says may repeat are shuffled and grouped
 exactly; all others are singletons where they stand.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 
@@ -16,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.session import cut
+from lexspark.operators.ranking import join_groups
+from lexspark.session import stored
 
-CHUNK = 1 << 15  # bits of a filter that travel as one row
-MOST_BITS = 1 << 28  # 32 MB broadcast at most; with more records more rows are shuffled, none is lost
-PROBES = 4
-SALTS = 8
+PROBES = 2
+BITS_PER_RECORD = 16  # of distinct records one in seventy is taken for a possible repeat
+BLOCK_BITS = 1 << 29  # the filter of a block, 64 MB, is what a task holds at a time
+CHUNK = 1 << 16  # bits of a filter that are merged in one place
+BUFFER = 1 << 20  # hashes that a task gathers before it sends their positions
 
 
 def folded(text: Column) -> Column:
@@ -57,73 +62,94 @@ def record_fields(line: Column) -> Column:
 
 
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The probes of each hash, one column each."""
+    """The probes of each hash within its block, one column each."""
     h = hashes.astype(np.uint64)
     step = (h >> np.uint64(32)) | np.uint64(1)
     return np.stack([(h + np.uint64(k) * step) & np.uint64(bits - 1) for k in range(PROBES)], axis=1).astype(np.int64)
 
 
-def repeat_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Packed bits, set where two or more records fall, over all partitions."""
-    size = min(CHUNK, bits) // 8
+def block_of(hashes: Column, blocks: int) -> Column:
+    return (F.shiftrightunsigned(hashes, 40) % blocks).cast("int")
+
+
+def filters(hashes: DataFrame, bits: int) -> DataFrame:
+    """(block, chunk, again): of hashes(block, hash), where in the chunks of each block's filter two
+    or more records fall, over all partitions, as packed bits. A task sends two bytes a probe."""
+
+    def positions_set(blocks: np.ndarray, hashes_: np.ndarray) -> pa.RecordBatch:
+        at, n = np.unique(blocks.repeat(PROBES) * bits + positions(hashes_, bits).ravel(), return_counts=True)
+        chunk, low, more = at // CHUNK, (at % CHUNK).astype(np.uint16), n > 1
+        starts = np.flatnonzero(np.diff(chunk, prepend=-1))
+        ends = [*starts[1:], len(at)]
+        once = [low[i:j].tobytes() for i, j in zip(starts, ends)]
+        again = [low[i:j][more[i:j]].tobytes() for i, j in zip(starts, ends)]
+        first = chunk[starts]
+        return pa.RecordBatch.from_pydict({"block": pa.array(first // (bits // CHUNK), pa.int32()), "chunk": pa.array(first % (bits // CHUNK), pa.int32()), "once": pa.array(once, pa.binary()), "again": pa.array(again, pa.binary())})
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, again = np.zeros(bits // 8, dtype=np.uint8), np.zeros(bits // 8, dtype=np.uint8)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        n = 0
         for batch in batches:
-            at, n = np.unique(positions(batch.column(0).to_numpy(), bits), return_counts=True)
-            if not len(at):
-                continue
-            byte, mask = at >> 3, (128 >> (at & 7)).astype(np.uint8)
-            repeated = np.where((n > 1) | ((once[byte] & mask) != 0), mask, 0).astype(np.uint8)
-            starts = np.flatnonzero(np.diff(byte, prepend=-1))
-            again[byte[starts]] |= np.bitwise_or.reduceat(repeated, starts)
-            once[byte[starts]] |= np.bitwise_or.reduceat(mask, starts)
-        for k in np.flatnonzero(once.reshape(-1, size).any(axis=1)):
-            part = slice(k * size, (k + 1) * size)
-            yield pa.RecordBatch.from_pydict({"chunk": [int(k)], "once": [once[part].tobytes()], "again": [again[part].tobytes()]})
+            held.append((batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()))
+            n += batch.num_rows
+            if n >= BUFFER:  # sent early, as if by a partition of its own
+                yield positions_set(*map(np.concatenate, zip(*held)))
+                held, n = [], 0
+        if n:
+            yield positions_set(*map(np.concatenate, zip(*held)))
 
     def merge(parts: pa.Table) -> pa.Table:
-        once, again = 0, 0
-        for a, b in zip(parts["once"].to_pylist(), parts["again"].to_pylist()):
-            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-            once, again = once | a, again | b | (once & a)
-        return pa.table({"chunk": parts["chunk"][:1], "again": pa.array([again.tobytes()], pa.binary())})
+        once, again = (np.frombuffer(b"".join(parts[c].to_pylist()), np.uint16) for c in ("once", "again"))
+        repeated = np.bincount(once, minlength=CHUNK) > 1
+        repeated[again] = True
+        return pa.table({"block": parts["block"][:1], "chunk": parts["chunk"][:1], "again": pa.array([np.packbits(repeated).tobytes()], pa.binary())})
 
-    filled = hashes.mapInArrow(fill, "chunk bigint, once binary, again binary")
-    merged = filled.groupBy("chunk").applyInArrow(merge, "chunk bigint, again binary")
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for row in merged.toLocalIterator():
-        out[row["chunk"] * size :][:size] = np.frombuffer(row["again"], np.uint8)
-    return out
+    filled = hashes.mapInArrow(fill, "block int, chunk int, once binary, again binary")
+    return filled.groupBy("block", "chunk").applyInArrow(merge, "block int, chunk int, again binary")
 
 
-def collapse(records: DataFrame, row_col: str, by: list[str], group: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Two tables: (group, first_id, copies) with a row per distinct record, and (group, first_id,
-    copy_id) with a row per further copy. Records are the same if the canonical forms of the
-    columns in by agree within the group columns; first_id is the smallest row_col. Nulls agree
-    with empty values. An empty table gives two empty tables."""
-    group = group or []
-    spark = records.sparkSession
-    keys = [f"_k{i}" for i in range(len(by))]
-    keyed = records.select(*group, F.col(row_col).alias("_row"), *[folded(F.col(c)).alias(k) for c, k in zip(by, keys)])
-    keyed = cut(keyed.withColumn("_h", F.xxhash64(*group, *keys)))
-    n = keyed.count()
-    bits = 1 << min(MOST_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
-    shared = spark.sparkContext.broadcast(repeat_filter(keyed.select("_h"), bits))
+def may_repeat(keyed: DataFrame, merged: DataFrame, block: int, bits: int) -> DataFrame:
+    """keyed of a block with _again: whether the block's filter holds all probes of _h."""
+    bitmap = np.zeros(bits // 8, dtype=np.uint8)
+    for row in merged.where(F.col("block") == block).toLocalIterator():
+        bitmap[row["chunk"] * (CHUNK // 8) :][: CHUNK // 8] = np.frombuffer(row["again"], np.uint8)
+    shared = keyed.sparkSession.sparkContext.broadcast(bitmap)
 
     @F.arrow_udf("boolean")
-    def may_repeat(column: pa.Array) -> pa.Array:
+    def again(column: pa.Array) -> pa.Array:
         at = positions(column.to_numpy(zero_copy_only=False), bits)
         seen = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
         return pa.array(seen.all(axis=1))
 
-    marked = keyed.withColumn("_again", may_repeat("_h"))
+    return keyed.withColumn("_again", again("_h"))
+
+
+def collapse(records: DataFrame, row_col: str, by: list[str], group: list[str] | None = None, block_bits: int = BLOCK_BITS) -> tuple[DataFrame, DataFrame]:
+    """Two tables: (group, first_id, copies) with a row per distinct record, and (group, first_id,
+    copy_id) with a row per further copy. Records are the same if the canonical forms of the
+    columns in by agree within the group columns, null being a group; first_id is the smallest
+    row_col. Nulls agree with empty values. An empty table gives two empty tables."""
+    group = group or []
+    keys = [f"_k{i}" for i in range(len(by))]
+    same = [f"_g{i}" for i in range(len(group))] + keys
+    within = [F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("")).alias(f"_g{i}") for i, g in enumerate(group)]
+    keyed = records.select(*group, F.col(row_col).alias("_row"), *within, *[folded(F.col(c)).alias(k) for c, k in zip(by, keys)])
+    keyed = stored(keyed.withColumn("_h", F.xxhash64(*same)))
+    wanted = max(CHUNK, BITS_PER_RECORD * keyed.count())
+    bits = min(block_bits, 1 << (wanted - 1).bit_length())
+    blocks = -(-wanted // bits)
+    keyed = keyed.withColumn("_block", block_of(F.col("_h"), blocks))
+    if blocks > 1:  # each block's rows are then read for its own turn alone
+        keyed = stored(keyed, "_block")
+    merged = stored(filters(keyed.select("_block", "_h"), bits))
+    if blocks == 1:
+        marked = may_repeat(keyed, merged, 0, bits)
+    else:
+        turns = (may_repeat(keyed.where(F.col("_block") == b), merged, b, bits) for b in range(blocks))
+        marked = functools.reduce(DataFrame.unionByName, map(stored, turns))
     possible = marked.where("_again")
-    groups = possible.groupBy(*group, *keys).agg(F.min("_row").alias("first_id"), F.count("*").alias("copies"))
+    groups = stored(possible.groupBy(*group, *same).agg(F.min("_row").alias("first_id"), F.count("*").alias("copies")))
     alone = marked.where("not _again").select(*group, F.col("_row").alias("first_id"), F.lit(1).cast("bigint").alias("copies"))
     distinct = groups.select(*group, "first_id", "copies").unionByName(alone)
-    # a group may hold a large part of all rows: its one row is repeated per salt, its members are spread over the salts
-    spread = groups.where("copies > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = possible.withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int"))
-    copies = members.join(spread, [*group, *keys, "_salt"]).where("_row <> first_id").select(*group, "first_id", F.col("_row").alias("copy_id"))
-    return distinct, copies
+    copies = join_groups(possible.select("_row", *same), groups.where("copies > 1"), same, "copies")
+    return distinct, copies.where("_row <> first_id").select(*group, "first_id", F.col("_row").alias("copy_id"))

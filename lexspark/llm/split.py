@@ -1,8 +1,8 @@
 """Splitting oversized items at natural boundaries (problem 1).
 
 A text is parsed into a tree: numbered paragraphs, list items, lines, sentences, words. Only
-nodes above the limit are descended into; siblings are merged from the bottom up as long as they
-fit. Every piece but the first begins with an overlap: the end of the piece before, from a word
+nodes above the limit are descended into; whole siblings are merged from the bottom up as long as
+they fit, never with a part of an oversized one. Every piece but the first begins with an overlap: the end of the piece before, from a word
 start at most so many characters back.
 """
 
@@ -38,22 +38,35 @@ def nodes(text: str, start: int, end: int, level: int) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], end]))
 
 
+def word_parts(text: str, start: int, end: int, limit: int) -> list[tuple[int, int]]:
+    """Spans of a word above the limit: as long as they may be, but not before a mark."""
+    spans = []
+    while end - start > limit:
+        at = start + limit
+        while at > start + limit // 2 and MARK.match(text, at):
+            at -= 1
+        spans.append((start, at))
+        start = at
+    return [*spans, (start, end)]
+
+
 def pack(text: str, start: int, end: int, limit: int, level: int = 0) -> list[tuple[int, int]]:
     """Spans of at most limit characters that cover text[start:end]."""
     if end - start <= limit:
         return [(start, end)]
-    if level == len(LEVELS):  # one word above the limit: cut it, but not before a mark
-        at = start + limit
-        while at > start + limit // 2 and MARK.match(text, at):
-            at -= 1
-        return [(start, at), *pack(text, at, end, limit, level)] if end - at > limit else [(start, at), (at, end)]
+    if level == len(LEVELS):
+        return word_parts(text, start, end, limit)
     spans: list[tuple[int, int]] = []
-    for child in nodes(text, start, end, level):
-        for part in pack(text, *child, limit, level + 1):
-            if spans and part[1] - spans[-1][0] <= limit:
-                spans[-1] = (spans[-1][0], part[1])
-            else:
-                spans.append(part)
+    whole = False  # whether the last span is made of whole siblings
+    for a, b in nodes(text, start, end, level):
+        if b - a > limit:
+            spans += pack(text, a, b, limit, level + 1)
+            whole = False
+        elif whole and b - spans[-1][0] <= limit:
+            spans[-1] = (spans[-1][0], b)
+        else:
+            spans.append((a, b))
+            whole = True
     return spans
 
 
@@ -87,6 +100,8 @@ def piece_spans(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> Col
         rows = [None if t is None else [dict(zip(("start", "new", "end"), p)) for p in pieces_of(t, limit, overlap)] for t in column.to_pylist()]
         return pa.array(rows, pa.list_(fields))
 
+    # not deterministic to the planner, lest a filter on the result computes the pieces a second time
+    run = run.asNondeterministic()
     zero = F.lit(0)
     one = F.array(F.struct(zero.alias("start"), zero.alias("new"), F.length(text).alias("end"))).cast(kind)
     return F.when(F.length(text) <= limit, one).otherwise(run(F.when(F.length(text) > limit, text)))
@@ -96,8 +111,8 @@ def split_items(items: DataFrame, keys: list[str], text_col: str = "text", limit
     """(keys, piece, start, new, end, text) with a row per piece: text is start..end, of which
     start..new repeats the piece before. Null items give no row, empty ones one empty piece;
     rows with the same keys are split each on its own. keys may not be named like the result."""
-    spans = items.select(*keys, F.col(text_col).alias("_text"), piece_spans(F.col(text_col), limit, overlap).alias("_spans"))
-    out = spans.where("_text is not null").select(*keys, "_text", F.posexplode("_spans").alias("piece", "_p"))
+    texts = items.select(*keys, F.col(text_col).alias("_text")).where("_text is not null")
+    out = texts.select(*keys, "_text", piece_spans(F.col("_text"), limit, overlap).alias("_spans")).select(*keys, "_text", F.posexplode("_spans").alias("piece", "_p"))
     columns = [*keys, "piece", F.col("_p.start").alias("start"), F.col("_p.new").alias("new"), F.col("_p.end").alias("end")]
     if with_text:
         columns.append(F.expr("substring(_text, _p.start + 1, _p.end - _p.start)").alias("text"))

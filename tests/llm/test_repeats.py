@@ -20,9 +20,23 @@ def test_collapse_against_brute_force(spark):
     groups = {}
     for i, key, q, src in rows:
         groups.setdefault((src, fold(key), fold(q)), []).append(i)
-    distinct, copies = repeats.collapse(df, "n", ["id", "question"], ["src"])
-    assert sorted(tuple(r) for r in distinct.collect()) == sorted((s, min(g), len(g)) for (s, *_), g in groups.items())
-    assert sorted(tuple(r) for r in copies.collect()) == sorted((s, min(g), i) for (s, *_), g in groups.items() for i in g if i != min(g))
+    for bits in (repeats.BLOCK_BITS, 1 << 16):
+        distinct, copies = repeats.collapse(df, "n", ["id", "question"], ["src"], bits)
+        assert sorted(tuple(r) for r in distinct.collect()) == sorted((s, min(g), len(g)) for (s, *_), g in groups.items())
+        assert sorted(tuple(r) for r in copies.collect()) == sorted((s, min(g), i) for (s, *_), g in groups.items() for i in g if i != min(g))
+
+
+def test_blocks_of_hashes_and_what_is_shuffled(spark):
+    n, bits = 30_000, 1 << 17  # four blocks
+    df = spark.range(n).selectExpr("id as n", "concat('Kayıt ', if(id < 500, id % 250, id)) as t", "if(id % 2 = 0, null, 'x') as g").repartition(6)
+    keyed = df.select(repeats.block_of(F.xxhash64("t"), 4).alias("_block"), F.xxhash64("t").alias("_h"))
+    merged = repeats.filters(keyed, bits).cache()
+    assert {r["block"] for r in merged.collect()} == {0, 1, 2, 3}
+    possible = sum(repeats.may_repeat(keyed.where(F.col("_block") == b), merged, b, bits).where("_again").count() for b in range(4))
+    assert 500 <= possible <= 500 + 0.03 * n
+    distinct, copies = repeats.collapse(df, "n", ["t"], ["g"], bits)
+    assert distinct.count() == n - 250 and copies.count() == 250
+    assert copies.where("copy_id <> first_id + 250").count() == 0
 
 
 def test_lines_and_empty_table(spark):

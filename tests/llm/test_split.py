@@ -45,3 +45,18 @@ def test_items(spark):
     first = [r for i, r in enumerate(long) if i % 2 == 0]
     assert "".join(r["text"][r["new"] - r["start"] :] for r in first) == "söz " * 1000
     assert split.split_items(df.limit(0), ["row_id"]).count() == 0
+
+
+def test_siblings_merge_only_whole_and_words_of_any_length():
+    text = "(1) " + "Uzun fıkra cümlesi burada. " * 70 + "\n(2) Kısa fıkra.\n(3) Bir kısa fıkra daha."
+    starts = [text[n : n + 3] for _, n, _ in split.pieces_of(text)]
+    assert starts[0] == "(1)" and starts[-1] == "(2)" and "(2)" not in starts[1:-1]
+    word = "á" * 3_000_000
+    pieces = split.pieces_of(word)
+    assert pieces[-1][2] == len(word) and all(e - s <= 1500 for s, _, e in pieces)
+
+
+def test_texts_are_split_once(spark):
+    df = spark.createDataFrame([(1, "söz " * 1000)], "row_id bigint, text string")
+    plan = split.split_items(df, ["row_id"], with_text=False).where("piece = 1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
