@@ -30,21 +30,19 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.where("piece = 1").select("src", "row_id", "pos")
 
 
-def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+def _overlaps(spark: SparkSession, folder: str) -> overlaps.Overlaps:
     gold = [table(spark, folder, t).select(F.lit(n).alias("split"), F.col("row_id").alias("eval_id"), "question", "gold_doc_ids") for n, t in (("dev", "dev_omer"), ("test", "test_full"))]
     train = table(spark, folder, "synthetic_qa").select(F.col("qa_id").alias("train_id"), "question", "source_doc_id")
-    return overlaps.overlaps(gold[0].unionByName(gold[1]), train)
+    return overlaps.overlapping(gold[0].unionByName(gold[1]), spread(train, "train_id"))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _overlaps(spark, folder)
+    return _overlaps(spark, folder).pairs()
 
 
 def p2_report(spark: SparkSession, folder: str) -> DataFrame:
     """Overlapping pairs and questions per split and law of the training row."""
-    laws = table(spark, folder, "synthetic_qa").select(F.col("qa_id").alias("train_id"), "kanun_short")
-    pairs = _overlaps(spark, folder).join(laws, "train_id")
-    return pairs.groupBy("split", "kanun_short").agg(F.count("*").alias("pairs"), F.count_distinct("eval_id").alias("questions"), F.count_distinct("train_id").alias("training_rows"))
+    return _overlaps(spark, folder).report(table(spark, folder, "synthetic_qa").select(F.col("qa_id").alias("train_id"), "kanun_short"), ["kanun_short"])
 
 
 def _articles(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 
 from lexspark.llm import overlaps
 from lexspark.llm.words import words_of
+from pyspark.sql import functions as F
 
 
 def test_against_brute_force(spark):
@@ -29,5 +30,13 @@ def test_against_brute_force(spark):
                 want.add((split, i, j))
     got = [tuple(r) for r in overlaps.overlaps(e, t).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    several = overlaps.overlapping(e, t, filter_bits=1 << 17)
+    assert sorted(tuple(r) for r in several.pairs().collect()) == sorted(want)
+    laws = t.select("train_id", (F.col("train_id") % 3).alias("law"))
+    report = {(r["split"], r["law"]): (r["pairs"], r["questions"], r["training_rows"]) for r in several.report(laws, ["law"]).collect()}
+    counted = {}
+    for split, i, j in want:
+        counted.setdefault((split, j % 3), set()).add((i, j))
+    assert report == {k: (len(v), len({i for i, _ in v}), len({j for _, j in v})) for k, v in counted.items()}
     assert overlaps.overlaps(e.limit(0), t).count() == 0
     assert overlaps.overlaps(e, t.limit(0)).count() == 0
