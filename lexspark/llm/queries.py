@@ -51,11 +51,11 @@ def _articles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.repair(_articles(spark, folder))[0]
+    return scans.Repair.of(_articles(spark, folder)).noise()
 
 
 def p3_texts(spark: SparkSession, folder: str) -> DataFrame:
-    return scans.repair(_articles(spark, folder))[1]
+    return scans.Repair.of(_articles(spark, folder)).texts()
 
 
 def _leaks(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,19 +9,19 @@ known confusion of letters turns into a word at least so many times as frequent.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspark.llm.characters import consistent
 from lexspark.llm.languages import ODD
-from lexspark.session import cut
+from lexspark.session import stored
 
 SAMPLE_ROWS, SAMPLE_CHARS = 4000, 4000
 TIMES, LEAST_COUNT = 10, 3
@@ -30,6 +30,10 @@ COMMON_WORDS = 50_000
 # What recognition reads, and what stood there.
 CONFUSIONS = {"4": ["a"], "1": ["l", "i", "ı"], "5": ["s"], "0": ["o"], "6": ["b"], "9": ["g"], "8": ["b"], "3": ["e"], "ri": ["n"], "rn": ["m"], "c": ["e"], "lc": ["k"], "l": ["ı"], "ıı": ["u"], "ii": ["ü"], "cl": ["d"], "li": ["h"], "vv": ["v"], "|": ["l", "ı"], "s,": ["ş"], "c,": ["ç"]}
 
+#: The signs among them that are no letters, and what each may stand for alone; all that are alike.
+SIGNS = {sign: rights for sign, rights in CONFUSIONS.items() if len(sign) == 1 and not sign.isalpha()}
+ALIKE = ["1|liı", "4a", "5s", "0o", "68b", "9g", "3e"]
+
 STATES = ("body", "end", "header", "page", "both")
 PAGE = r"(?:[-–—]\s*\d{1,4}\s*[-–—]|\[\s*\d{1,4}\s*\]|\(\s*\d{1,4}\s*\)|s\.\s*\d{1,4}|S\.\s*\d{1,4}|[Ss]ayfa\s*:?\s*\d{1,4}|\d{1,4}\s*/\s*\d{1,4}|\d{1,4})"
 PAGE_ONLY = re.compile(rf"\s*{PAGE}\s*$")
@@ -219,8 +223,7 @@ def repaired(text: str, title: str | None, model: LineModel) -> tuple[str, set[s
 
 
 def candidates(word: str) -> set[str]:
-    """Words that a confusion may have turned into this one: one confusion at one place or at all
-    its places, or all digits at once."""
+    """Words that one confusion, at one place or at all its places, may have turned into this one."""
     found: set[str] = set()
     for wrong, rights in CONFUSIONS.items():
         if wrong in word:
@@ -230,17 +233,23 @@ def candidates(word: str) -> set[str]:
                 while at >= 0:
                     found.add(word[:at] + right + word[at + len(wrong) :])
                     at = word.find(wrong, at + 1)
-    if any(c in CONFUSIONS for c in word):
-        forms = {""}
-        for c in word:
-            forms = {f + r for f in forms for r in (CONFUSIONS.get(c, [c]) if not c.isalpha() else [c])}
-            if len(forms) > 64:
-                break
-        else:
-            found |= forms
     return found - {word}
 
 
+def skeleton(word: Column) -> Column:
+    """The word with all signs and letters that recognition confuses as one sign each, so that a
+    word whose every digit stands for a letter has the skeleton of the word that it was."""
+    return F.translate(word, "".join(c for own in ALIKE for c in own), "".join(own[0] * len(own) for own in ALIKE))
+
+
+def letters_for(word: Column) -> Column:
+    """A pattern of the words that this one may have been, each sign that is no letter read as one."""
+    out = word
+    for sign, letters in SIGNS.items():
+        out = F.replace(out, F.lit(sign), F.lit("[" + "".join(letters) + "]"))
+    return F.concat(F.lit("^"), out, F.lit("$"))
+
+
 def words(text: str) -> list[str]:
     """Words in lower case, with the commas that stand for a cedilla as part of them."""
     return WORD.findall(lower(uncomma(text)))
@@ -270,8 +279,9 @@ def lexicon(texts: DataFrame) -> DataFrame:
 
 
 def misread_words(counts: DataFrame) -> DataFrame:
-    """(word, right): words that are misread, and what they should be, of counts(word, n, plain).
-    A word that is usual in text from no scan is none."""
+    """(word, right): words that are misread, and what they should be, of counts(word, n, plain):
+    words that one confusion, or reading all signs that are no letters as letters, turns into a word
+    of so many times their count. A word that is usual in text from no scan is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -281,16 +291,14 @@ def misread_words(counts: DataFrame) -> DataFrame:
 
     doubtful = counts.where("plain < 3 or plain * 2 < n").select("word", "n")
     tried = doubtful.mapInArrow(run, "word string, n bigint, right string")
-    known = counts.select(F.col("word").alias("right"), F.col("n").alias("m"))
-    good = tried.join(known, "right").where((F.col("m") >= LEAST_COUNT) & (F.col("m") >= TIMES * F.col("n")))
+    known = counts.where(F.col("n") >= LEAST_COUNT).select(F.col("word").alias("right"), F.col("n").alias("m"))
+    signed = doubtful.where(F.col("word").rlike(f"[{''.join(SIGNS)}]") & F.col("word").rlike(r"\p{L}"))
+    whole = signed.withColumns({"_s": skeleton(F.col("word")), "_p": letters_for(F.col("word"))}).join(known.withColumn("_s", skeleton(F.col("right"))), "_s").where(F.expr("right rlike _p"))
+    columns = ["word", "n", "right", "m"]
+    good = tried.join(known, "right").select(*columns).unionByName(whole.select(*columns)).where(F.col("m") >= TIMES * F.col("n"))
     return good.groupBy("word").agg(F.max_by("right", F.struct("m", "right")).alias("right"))
 
 
-@functools.lru_cache(maxsize=2)
-def _model(articles: tuple) -> LineModel:
-    return LineModel([(list(lines), title) for lines, title in articles])
-
-
 def fit(texts: DataFrame) -> LineModel:
     """The line model from at most SAMPLE_ROWS texts of several lines and at most SAMPLE_CHARS
     characters; the hash of the id thins the table before anything is collected."""
@@ -301,49 +309,70 @@ def fit(texts: DataFrame) -> LineModel:
     return LineModel([([x for x in text_form(r["text"]).split("\n") if x.strip()] or [" "], frozenset(WORD.findall(lower(r["title"] or "")))) for r in rows])
 
 
-def repair(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of texts(row_id, field, text, title): the noise (row_id, field, kind) with a row per kind
-    present, and the repaired texts (row_id, field, text). Null texts have neither, empty ones stay
-    empty; (row_id, field) should be unique. title is the law's name, for its running heads."""
-    spark = texts.sparkSession
-    plain = texts.select("row_id", "field", "text", "title").where("text is not null")
-    counts = cut(lexicon(plain))
-    total = counts.agg(F.sum("n")).collect()[0][0] or 0
-    # at most COMMON_WORDS words can each make up that share of all
-    common = frozenset(r["word"] for r in counts.where(F.col("n") * COMMON_WORDS >= max(total, 1)).where(F.col("n") > 1).select("word").toLocalIterator())
-    wrong = misread_words(counts)
-    # a common word may be a misread one too
-    common -= frozenset(r["word"] for r in wrong.join(counts.where(F.col("n") * COMMON_WORDS >= max(total, 1)), "word", "left_semi").select("word").toLocalIterator())
-    shared = spark.sparkContext.broadcast((fit(plain), common))
+@dataclass
+class Repair:
+    """Texts read with the line model and the common words: done(row_id, field, text, kinds, rare), the
+    text put together, the kinds of noise, and the words that are not common; and wrong(word, right)."""
+
+    done: DataFrame
+    wrong: DataFrame
+
+    @classmethod
+    def of(cls, texts: DataFrame) -> Repair:
+        """Of texts(row_id, field, text, title). Null texts are left out, empty ones stay empty;
+        (row_id, field) should be unique. title is the law's name, for its running heads."""
+        plain = texts.select("row_id", "field", "text", "title").where("text is not null")
+        counts = stored(lexicon(plain))
+        total = counts.agg(F.sum("n")).collect()[0][0] or 0
+        wrong = stored(misread_words(counts))
+        # at most COMMON_WORDS words can each make up that share of all; a common word may be a misread one too
+        usual = counts.where((F.col("n") * COMMON_WORDS >= max(total, 1)) & (F.col("n") > 1)).join(wrong, "word", "left_anti")
+        shared = texts.sparkSession.sparkContext.broadcast((fit(plain), frozenset(r["word"] for r in usual.select("word").toLocalIterator())))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            model, common = shared.value
+            for batch in batches:
+                texts_, kinds_, rare_ = [], [], []
+                for text, title in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    fixed, kinds = repaired(text, title, model)
+                    if uncomma(fixed) != fixed:
+                        kinds.add("misread")
+                    own = set(words(fixed)) - common
+                    if any(strange(w) for w in own):
+                        kinds.add("misread")
+                    texts_.append(fixed)
+                    kinds_.append(sorted(kinds))
+                    rare_.append(sorted(w for w in own if LEXICAL.search(w)))
+                lists = pa.list_(pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts_, pa.string()), pa.array(kinds_, lists), pa.array(rare_, lists)], ["row_id", "field", "text", "kinds", "rare"])
+
+        return cls(plain.mapInArrow(run, "row_id bigint, field string, text string, kinds array<string>, rare array<string>"), wrong)
+
+    def noise(self) -> DataFrame:
+        """(row_id, field, kind) with a row per kind present."""
+        # a kind goes through the join under a key of its own, so that both come from one reading
+        found = F.concat(F.transform("kinds", lambda k: F.struct(F.concat(F.lit(" "), F.col("row_id").cast("string")).alias("word"), k.alias("kind"))), F.transform("rare", lambda w: F.struct(w.alias("word"), F.lit(None).cast("string").alias("kind"))))
+        rows = self.done.select("row_id", "field", F.explode(found).alias("x")).select("row_id", "field", "x.*").join(self.wrong, "word", "left")
+        kind = F.coalesce("kind", F.when(F.col("right").isNotNull(), "misread"))
+        return rows.select("row_id", "field", kind.alias("kind")).where("kind is not null").distinct()
+
+    def texts(self) -> DataFrame:
+        """(row_id, field, text), misread words put right."""
+        done = stored(self.done.drop("kinds"))
+        read = done.select("row_id", "field", F.explode("rare").alias("word")).join(self.wrong, "word")
+        fixes = read.groupBy("row_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("fixes"))
+
+        @F.arrow_udf("string")
+        def mend(text: pa.Array, fixes_: pa.Array) -> pa.Array:
+            return pa.array([mended(t, dict(f or ())) for t, f in zip(text.to_pylist(), fixes_.to_pylist())], pa.string())
+
+        return done.select("row_id", "field", "text").join(fixes, ["row_id", "field"], "left").select("row_id", "field", mend("text", "fixes").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, usual = shared.value
-        for batch in batches:
-            texts_, kinds_, rare_ = [], [], []
-            for text, title in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                fixed, kinds = repaired(text, title, model)
-                if uncomma(fixed) != fixed:
-                    kinds.add("misread")
-                own = set(words(fixed)) - usual
-                if any(strange(w) for w in own):
-                    kinds.add("misread")
-                texts_.append(fixed)
-                kinds_.append(sorted(kinds))
-                rare_.append(sorted(w for w in own if LEXICAL.search(w)))
-            lists = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts_, pa.string()), pa.array(kinds_, lists), pa.array(rare_, lists)], ["row_id", "field", "text", "kinds", "rare"])
-
-    done = plain.mapInArrow(run, "row_id bigint, field string, text string, kinds array<string>, rare array<string>")
-    read = done.select("row_id", "field", F.explode("rare").alias("word")).join(wrong, "word")
-    noise = done.select("row_id", "field", F.explode("kinds").alias("kind")).unionByName(read.select("row_id", "field", F.lit("misread").alias("kind"))).distinct()
-    fixes = read.groupBy("row_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("fixes"))
-
-    @F.arrow_udf("string")
-    def mend(text: pa.Array, fixes_: pa.Array) -> pa.Array:
-        return pa.array([mended(t, dict(f or ())) for t, f in zip(text.to_pylist(), fixes_.to_pylist())], pa.string())
-
-    out = done.select("row_id", "field", "text").join(fixes, ["row_id", "field"], "left").select("row_id", "field", mend("text", "fixes").alias("text"))
-    return noise, out
+
+def repair(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The noise of texts(row_id, field, text, title) and the repaired texts."""
+    read = Repair.of(texts)
+    return read.noise(), read.texts()
 
 
 def strange(word: str) -> bool:

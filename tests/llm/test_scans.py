@@ -62,3 +62,10 @@ def test_kinds_and_text(spark):
 def test_empty_table(spark):
     noise, texts = scans.repair(spark.createDataFrame([], "row_id bigint, field string, text string, title string"))
     assert noise.count() == 0 and texts.count() == 0
+
+
+def test_words_of_many_misread_letters(spark):
+    counts = [("karılılıkı", 90, 90), ("alblci", 40, 40), ("allbblci", 40, 40), ("okul", 50, 50), ("a1b1c1", 2, 0), ("k4r1l1l1k1", 1, 0), ("a11bb1c1", 1, 0), ("0ku1", 1, 0), ("madde1", 1, 0), ("k4r1l1l1k1" * 50, 1, 0)]
+    df = spark.createDataFrame(counts + [("karılılıkı" * 50, 30, 30)], "word string, n bigint, plain bigint")
+    found = {r["word"]: r["right"] for r in scans.misread_words(df).collect()}
+    assert found == {"a1b1c1": "alblci", "k4r1l1l1k1": "karılılıkı", "a11bb1c1": "allbblci", "0ku1": "okul", "k4r1l1l1k1" * 50: "karılılıkı" * 50}
