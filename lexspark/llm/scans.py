@@ -23,7 +23,7 @@ from lexspark.llm.characters import consistent
 from lexspark.llm.languages import ODD
 from lexspark.session import stored
 
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 4000
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 4000
 TIMES, LEAST_COUNT = 10, 3
 COMMON_WORDS = 50_000
 
@@ -129,14 +129,15 @@ def weak_labels(rows: list[tuple[str, ...]]) -> list[str]:
 
 
 class LineModel:
-    """Start, transition and emission log probabilities, counted with one added to each."""
+    """Start, transition and emission log probabilities, counted with one added to each, of articles
+    labelled by the weak rules or, to learn from what follows what, by an earlier model."""
 
-    def __init__(self, articles: list[tuple[list[str], frozenset[str]]]):
+    def __init__(self, articles: list[tuple[list[str], frozenset[str]]], earlier: LineModel | None = None):
         start, step, emit, total = Counter(), Counter(), Counter(), Counter()
         values: dict[int, set[str]] = {}
         for lines, title in articles:
             rows = features(lines, title)
-            labels = weak_labels(rows)
+            labels = earlier.labels(lines, title) if earlier else weak_labels(rows)
             start[labels[0]] += 1
             step.update(zip(labels, labels[1:]))
             for row, label in zip(rows, labels):
@@ -306,7 +307,8 @@ def fit(texts: DataFrame) -> LineModel:
     drawn = texts.withColumn("h", F.xxhash64("row_id", "field")).where(F.pmod("h", F.lit(1 << 20)) < F.lit(int(share * (1 << 20)) + 1))
     several = drawn.where(F.contains("text", F.lit("\n")) & (F.length("text") <= SAMPLE_CHARS))
     rows = several.orderBy("h", "text").limit(SAMPLE_ROWS).select("text", "title").collect()
-    return LineModel([([x for x in text_form(r["text"]).split("\n") if x.strip()] or [" "], frozenset(WORD.findall(lower(r["title"] or "")))) for r in rows])
+    articles = [([x for x in text_form(r["text"]).split("\n") if x.strip()] or [" "], frozenset(WORD.findall(lower(r["title"] or "")))) for r in rows]
+    return LineModel(articles, LineModel(articles))
 
 
 @dataclass

@@ -32,6 +32,11 @@ def test_against_brute_force_and_offsets(spark):
     for least, block in ((4, 10**6), (4, 60)):
         out = leaks.leaks(df, test, "row_id", ["question", "answer"], least, block).collect()
         assert {(r["item_id"], r["src"], r["text_id"]) for r in out} == brute(texts, items, least)
+    wide = [(50 + i, " ".join(f"w{rng.randrange(60)}" for _ in range(40)), None) for i in range(200)]
+    wide.append((300, " ".join(f"k{i}" for i in range(2000)), None))  # more words than two digits tell apart
+    quoted = [("documents", 300 + i, " ".join(wide[i][1].split()[k : k + 9])) for i in range(200) for k in (0, 1, 17, 31)] + [("documents", 9000, " ".join(f"k{i}" for i in range(1990, 2000))), ("documents", 9001, "k0 k1 k2 k3 k4 k5 k6 k8")]
+    got = leaks.leaks(spark.createDataFrame(quoted, "src string, text_id bigint, text string"), spark.createDataFrame(wide, "row_id bigint, question string, answer string"), "row_id", ["question", "answer"]).collect()
+    assert {(r["item_id"], r["src"], r["text_id"]) for r in got} == brute(quoted, wide, 8)
     stored = {(s, i): t for s, i, t in texts}
     questions = {i: (words_of(q), words_of(a)) for i, q, a in items}
     for r in out:
