@@ -1,11 +1,11 @@
 """Answers that are no proper answers to their questions (problem 5).
 
-Each response is compressed with its prompt as a raw-content zstandard dictionary: a response
-that only repeats the prompt shrinks to next to nothing, and is then compared word by word.
-Refusals are found by a dictionary of phrases and of first-person refusing verb endings, other
-languages by the per-language dictionaries of problem 10. Whether the last sentence of an answer
-is finished is told by a model of terminal contexts counted over all answers: how often a word,
-or else its ending, stands at the end of a sentence.
+Each response is compressed with its prompt as a raw-content zstandard dictionary. What it takes
+beyond the prompt repeated is what the response says of its own: next to nothing makes a copy, much
+makes none, and in between the words decide. Refusals are found by a dictionary of phrases and of
+first-person refusing verb endings, other languages by the per-language dictionaries of problem 10.
+Whether the last sentence of an answer is finished is told by a model of terminal contexts counted
+over all answers: how often a word, or else its ending, stands at the end of a sentence.
 """
 
 from __future__ import annotations
@@ -19,13 +19,25 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.llm.languages import _classifier, prepared
+from lexspark.llm.characters import consistent
+from lexspark.llm.languages import ODD, _classifier, prepared
 from lexspark.llm.words import CITATION, fold, words_of
+from lexspark.operators.ranking import join_groups
+from lexspark.session import stored
 
 CITED = re.compile(CITATION)
-COPY_BYTES = 48  # what a copy may need beyond its prompt before it is compared word by word
-LEAD_WORDS = 6
+COPY_LEVEL = 3
+OWN_BYTES, NEAR_SHARE = 2, 0.3  # a copy has no more bytes, a near copy no greater share of its bytes, of its own
+LEAD_WORDS, LEAD_BYTES = 6, 8  # a lead-in, and what coding it takes beyond its letters
+LEAST_COPIED = 5  # words of a question of which one may be exchanged in a near copy
 LEAST_WORDS, LEAST_ENDINGS, ENDING = 5, 20, 4
+# Words that ask; all i are one letter.
+ASKING = re.compile(r"(?:m[iuü](?:dir|dür|dur|yim|yiz|sin|siniz)?|ne(?:dir|ler|lerdir|den|rede|reye|yi|ye|yin)?|niçin|niye|kim(?:dir|ler|e|i|in)?|hangi(?:si|leri)?|kaç|nasil(?:dir)?)$")
+
+def plain(text: str) -> str:
+    """Folded and without Turkish accents, as the phrases are written."""
+    return text.translate(str.maketrans("çğöşüâîûéèñ", "cgosuaiueen"))
+
 
 # Phrases of declining; all i are one letter here, as in the texts they are held against.
 REFUSALS = """
@@ -34,11 +46,17 @@ dogru olur; uygun olmaz; mumkun degil; bilgi sahibi degilim; bilgim yok; bilgiye
 kacinmak zorundayim; reddetmek zorundayim; ele almayacagim; yanitlamayacagim; cevaplamayacagim; girmeyecegim; cevap uretemedim; yanit uretemedim; bulamadim; cevaplayamiyorum
 cevap veremem; yanit veremem; yardimci olamam; yardimci olamiyorum; bir sey soyleyemem; bir sey yazamiyorum; bilemiyorum; bilmiyorum; ilgilenmiyorum; yorum yapamam; gorus bildiremem
 """.replace("\n", ";").split(";")
-# The same in English, the language refusals come in besides Turkish.
-REFUSALS += ["i cannot answer", "i can't", "i can not", "i am unable", "i'm unable", "i'm sorry", "i am sorry", "i do not know", "as an ai", "as a language model"]
+# The same in the other languages.
+REFUSALS += """
+i cannot answer; i can't; i can not; i am unable; i'm unable; i'm sorry; i am sorry; i do not know; as an ai; as a language model
+es tut mir leid; ich weiss es nicht; ich kann diese frage nicht beantworten; ich kann dazu nichts sagen; ich kann ihnen dabei nicht helfen; als sprachmodell; als ki
+je suis désolé; je ne sais pas; je ne peux pas répondre; je ne suis pas en mesure de répondre; en tant que modèle de langage; en tant qu'ia
+lo siento; no lo sé; no puedo responder; no puedo contestar; no puedo ayudarle; como modelo de lenguaje; como ia
+üzr istəyirəm; bilmirəm; cavab verə bilmirəm; cavab verə bilmərəm; kömək edə bilmirəm; kömək edə bilmərəm; dil modeli olaraq
+""".replace("\n", ";").split(";")
 #: Phrases that decline only where the speaker speaks of itself.
 WEAK = {"dogru olur", "uygun olmaz", "mumkun degil", "kapsamiyor", "yorum beklemeyin", "cevap beklemeyin"}
-REFUSAL = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(x.strip()) for x in REFUSALS if x.strip() and x.strip() not in WEAK) + r")(?!\w)")
+REFUSAL = re.compile(r"(?<!\w)(?:" + "|".join(re.escape(plain(x.strip())) for x in REFUSALS if x.strip() and x.strip() not in WEAK) + r")(?!\w)")
 # Endings of first-person verbs that decline, and openings of apology.
 FIRST_PERSON = re.compile(r"\w(?:[ae]m[ae]m|m[iuü]yorum|m[ae]yaca[ğg]im|m[ae]yece[ğg]im|[ae]m[ae]dim|m[ae]m|mesem|masam)(?!\w)|(?<!\w)(?:değilim|degilim|zorundayim|benden|yetkim)(?!\w)")
 APOLOGY = re.compile(r"(?<!\w)(?:üzgünüm|özür dilerim|kusura bakmayin|maalesef|ne yazik ki|bir dil modeli|yapay zek[âa]|olduğum için)(?!\w)")
@@ -53,11 +71,6 @@ REMARK = re.compile(r"\s*\([^()]*\)\s*$")
 LAST_CITATIONS = re.compile(rf"(?:\s*{CITATION}[\s.,;:!?]*)+$")
 
 
-def plain(text: str) -> str:
-    """Folded and without Turkish accents, as the phrases are written."""
-    return text.translate(str.maketrans("çğöşüâîû", "cgosuaiu"))
-
-
 def refuses(folded: str) -> bool:
     bare = plain(folded)
     if REFUSAL.search(bare):
@@ -66,18 +79,36 @@ def refuses(folded: str) -> bool:
     return bool(speaks and (APOLOGY.search(folded) or WEAK_PHRASE.search(bare) or re.search(r"soru|cevap|yanit|yorum|görüş|bilgi|konu|istek|talep", folded)))
 
 
+def packed_size(text: bytes, prompt: bytes) -> int:
+    """Bytes of a text compressed with the prompt as its dictionary."""
+    d = zstandard.ZstdCompressionDict(prompt, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    return len(zstandard.ZstdCompressor(level=COPY_LEVEL, dict_data=d, write_content_size=False, write_dict_id=False).compress(text))
+
+
+def as_bytes(words: list[str]) -> bytes:
+    return " ".join(words).encode("utf-8", "replace")
+
+
 def copies(question: str, answer: str) -> bool:
     """Whether the answer is nothing but the question, once or more, formatting, citations and a
-    lead-in aside."""
+    lead-in aside. An answer with a few letters of its own is one too if it still asks all the
+    question asks: a word exchanged for another is no answer unless it stands for what was asked."""
+    question, answer = (consistent(t) if ODD.search(t) else t for t in (question, answer))
     q, a = words_of(question), words_of(CITED.sub(" ", answer))
-    if not q or len(a) < len(q):
+    if not q or 2 * len(a) < len(q):
         return False
-    d = zstandard.ZstdCompressionDict(" ".join(q).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    packed = zstandard.ZstdCompressor(level=3, dict_data=d, write_content_size=False, write_dict_id=False).compress(" ".join(a).encode("utf-8", "replace"))
-    if len(packed) > COPY_BYTES + 8 * (len(a) // len(q)):
+    prompt, times = as_bytes(q), max(1, len(a) // len(q))
+    lead = min(LEAD_WORDS, len(q) - 1, max(0, len(a) - times * len(q)))
+    own = packed_size(as_bytes(a), prompt) - packed_size(as_bytes(q * times), prompt)
+    if own > max(NEAR_SHARE * len(as_bytes(a)), len(as_bytes(a[:lead])) + LEAD_BYTES):
         return False
-    lead = len(a) % len(q)
-    return lead <= min(LEAD_WORDS, len(q) - 1) and a[lead:] == q * (len(a) // len(q))
+    if own <= OWN_BYTES and packed_size(prompt, as_bytes(a)) - packed_size(as_bytes(a), as_bytes(a)) <= OWN_BYTES:
+        return True
+    if len(a) >= len(q) and len(a) % len(q) <= lead and a[len(a) % len(q) :] == q * times:
+        return True
+    body = a[lead:] if len(a) - lead >= len(q) else a
+    changed = sum((Counter(body) - Counter(q * times)).values())
+    return len(body) == len(q) * times and len(q) >= LEAST_COPIED and changed <= times and all(w in body for w in q if ASKING.match(w)) and any(ASKING.match(w) for w in q)
 
 
 def token_key(before: str, word: str) -> str:
@@ -184,15 +215,14 @@ def defects(qa: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     'refusal', 'copies_question' or 'other_language', the first that holds in the order empty, copy,
     refusal, language, truncated. A null question copies nothing; without dictionaries no language
     is judged; repeated rows give a row each."""
-    seen = judged(qa, dictionaries)
-    counts = terminal_counts(qa)
+    seen, counts = stored(judged(qa, dictionaries)), stored(terminal_counts(qa))
     ending = F.right("context", F.lit(ENDING))
     endings = counts.groupBy(ending.alias("ending")).agg(F.sum("ends").alias("e2"), F.sum("others").alias("o2"))
-    open_ = (
-        seen.where("defect is null and last is not null").withColumn("ending", F.right("last", F.lit(ENDING)))
-        .join(counts.withColumnRenamed("context", "last"), "last", "left").join(endings, "ending", "left")
-    )
+    # answers end in few words: each is decided once, then its rows
+    last = seen.where("defect is null and last is not null").groupBy("last").agg(F.count("*").alias("n")).withColumn("ending", F.right("last", F.lit(ENDING)))
+    known = last.join(counts.withColumnRenamed("context", "last"), "last", "left").join(endings, "ending", "left")
     n1, n2 = F.coalesce(F.col("ends") + F.col("others"), F.lit(0)), F.coalesce(F.col("e2") + F.col("o2"), F.lit(0))
     finished = F.when(n1 >= LEAST_WORDS, F.col("ends") * 2 >= n1).when(n2 >= LEAST_ENDINGS, F.col("e2") * 2 >= n2).otherwise(False)
-    truncated = open_.where(~finished).select("qa_id", F.lit("truncated").alias("defect"))
+    open_ = stored(known.where(~finished).select("last", "n"))
+    truncated = join_groups(seen.where("defect is null and last is not null").select("qa_id", "last"), open_, ["last"], "n").select("qa_id", F.lit("truncated").alias("defect"))
     return seen.where("defect is not null").select("qa_id", "defect").unionByName(truncated)

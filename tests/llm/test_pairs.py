@@ -4,6 +4,16 @@ from lexspark.llm import languages, pairs
 from test_languages import STOCK, sentence
 
 
+def test_copies():
+    q = "Kira sözleşmesi hangi süre içinde hangi şekilde yenilenir ve kime bildirilir?"
+    for answer in (q, q.upper(), f"Sormuş olduğunuz soru aşağıdaki gibidir: {q}", f"{q} {q} [A m.1]", q.replace("sözleşmesi", "sözleşmeleri"), q.replace("sözleşmesi", "söz­leş­mesi"), "Kirа" + q[4:]):
+        assert pairs.copies(q, answer), answer
+    for answer in (q + " Otuz gün içinde yazılı olarak yenilenir.", q.replace("hangi süre", "otuz gün"), "Kira sözleşmesi yenilenir.", q[: len(q) // 2], "", "Otuz gün.", q.replace("kime", "kiracıya").replace("hangi", "bu")):
+        assert not pairs.copies(q, answer), answer
+    assert not pairs.copies("Kira sözleşmesi yazılı olarak yapılır mı?", "Kira sözleşmesi yazılı olarak yapılır.")
+    assert pairs.copies("söz " * 5000, "söz " * 5000) and not pairs.copies("?", "?")
+
+
 def test_rows(spark):
     rng = random.Random(11)
     dictionaries = languages.train([(lang, " ".join(sentence(rng, lang) for _ in range(5))) for lang in STOCK for _ in range(40)])
