@@ -4,7 +4,8 @@ A mapping from grapheme clusters to their consistent form is computed once from
 tables and a list of look-alikes, checked for conflicts, and compiled into a trie. One pass over
 a text follows the trie from each position where a cluster can begin and takes the longest
 match. Look-alikes apply only in words that also hold Latin letters (or letters of several
-scripts), so words wholly in another script stay as they are; in codes they always apply.
+scripts), so words wholly in another script stay as they are; in codes they always apply, as do
+all compatibility forms of letters and digits. Words and what stands between them are walked once.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ SPACES = "\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u20
 #: Text of these characters alone needs no change; it is told apart without leaving the JVM.
 PLAIN = r"[^\t\n\r\x20-\x7eçğıöşüÇĞİÖŞÜâîûÂÎÛäÄßéèñ²³°§€«»¬•·“”„‘’–—…]"
 
+#: The same for codes, in which no typographic sign belongs.
+PLAIN_CODE = r"[^\x21-\x7eçğıöşüÇĞİÖŞÜ ]|^ | $"
+
 JOINER, SELECTOR = "\u200d", "\ufe0f"
 # Cedilla, circumflex, breve, dot and diaeresis above.
 MARKS = "\u0327\u0302\u0306\u0307\u0308"
@@ -111,14 +115,28 @@ def in_emoji(text: str, i: int) -> bool:
     return bool(before) and unicodedata.category(before) == "So" and unicodedata.category(text[i + 1 : i + 2] or " ") == "So"
 
 
+def code_map(known: dict[str, str]) -> dict[str, str]:
+    """Further letters and digits with a compatibility form of letters and digits: superscripts,
+    enclosed and mathematical ones."""
+    found = {}
+    for code in (*range(0xA0, 0x3400), *range(0xA640, 0xD7A4), *range(0xF900, 0xFFEF), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F190)):
+        c = chr(code)
+        plain = unicodedata.normalize("NFKC", c)
+        if c not in known and plain != c and plain.isalnum() and not any(x in known for x in plain) and all(x.isascii() or x in "çğıöşüÇĞİÖŞÜ" for x in plain):
+            found[c] = plain
+    return found
+
+
 @functools.lru_cache(maxsize=1)
-def transducers() -> tuple[Transducer, Transducer]:
-    """Without and with the look-alikes; an accent on a look-alike goes to the Latin letter."""
+def transducers() -> tuple[Transducer, Transducer, Transducer]:
+    """Without and with the look-alikes, and the one for codes; an accent on a look-alike goes to the
+    Latin letter."""
     mapping = dict(cluster_map())
     accented = {other + m: unicodedata.normalize("NFC", latin + m) for other, latin in LOOK_ALIKES.items() for m in MARKS}
     accented |= {unicodedata.normalize("NFC", k): v for k, v in accented.items()}
     accented = {k: "i" if v == "i\u0307" else v for k, v in accented.items() if len(v) == 1 or v == "i\u0307"}
-    return Transducer(mapping), Transducer(mapping | accented | LOOK_ALIKES)
+    full = mapping | accented | LOOK_ALIKES
+    return Transducer(mapping), Transducer(full), Transducer(full | code_map(full))
 
 
 WORD = re.compile(rf"\w[\w\u0300-\u036f{ZERO_WIDTH}]*")
@@ -132,15 +150,12 @@ def script(c: str) -> str:
     return "LATIN" if "LATIN" in name else name.split(" ")[0]
 
 
-def word_form(word: str) -> str:
-    if not UNUSUAL.search(word):
-        return word
-    plain, full = transducers()
+def has_look_alikes(word: str) -> bool:
+    """Whether letters of other scripts in a word stand for Latin ones."""
     letters = [c for c in word if c.isalpha()]
     scripts = {script(c) for c in letters}
     foreign = [c for c in letters if script(c) != "LATIN"]
-    mixed = "LATIN" in scripts or (len(scripts) > 1 and all(c in LOOK_ALIKES for c in foreign))
-    return full(word) if foreign and mixed else plain(word)
+    return bool(foreign) and ("LATIN" in scripts or (len(scripts) > 1 and all(c in LOOK_ALIKES for c in foreign)))
 
 
 def consistent(text: str | None, code: bool = False) -> str | None:
@@ -148,15 +163,18 @@ def consistent(text: str | None, code: bool = False) -> str | None:
     spaces go. Null stays null."""
     if text is None:
         return None
-    plain, full = transducers()
+    plain, full, codes = transducers()
     if code:
-        return full(text).strip()
-
-    def form(m: re.Match) -> str:
-        # one letter before a bracket marks a list, whatever its script seems to be
-        return full(m.group()) if len(m.group().rstrip(MARKS)) == 1 and text[m.end() : m.end() + 1] == ")" else word_form(m.group())
-
-    return plain(WORD.sub(form, text))
+        return codes(text).strip()
+    out, done = [], 0
+    for m in WORD.finditer(text):
+        word = m.group()
+        if UNUSUAL.search(word):
+            # one letter before a bracket marks a list, whatever its script seems to be
+            marker = len(word.rstrip(MARKS)) == 1 and text[m.end() : m.end() + 1] == ")"
+            out += plain(text[done : m.start()]), (full if marker or has_look_alikes(word) else plain)(word)
+            done = m.end()
+    return "".join((*out, plain(text[done:])))
 
 
 def consistent_form(column: Column, code: bool = False) -> Column:
@@ -166,13 +184,12 @@ def consistent_form(column: Column, code: bool = False) -> Column:
     def run(values: pa.Array) -> pa.Array:
         return pa.array([consistent(v, code) for v in values.to_pylist()], pa.string())
 
-    suspect = F.when(column.rlike(PLAIN), column)
-    cleaned = F.coalesce(run(suspect), column)
-    return F.when(column.isNotNull(), F.trim(cleaned) if code else cleaned)
+    suspect = F.when(column.rlike(PLAIN_CODE if code else PLAIN), column)
+    return F.when(column.isNotNull(), F.coalesce(run(suspect), column))
 
 
 def changed(df: DataFrame, id_col: str, text_col: str, src: str, code: bool = False) -> DataFrame:
     """(src, row_id) of the rows whose value changes when brought to the consistent form; null
     and empty values never do, repeated ids give a row each."""
-    suspects = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("value")).where(F.col("value").rlike(PLAIN) | (F.trim("value") != F.col("value")) if code else F.col("value").rlike(PLAIN))
+    suspects = df.select(F.col(id_col).alias("row_id"), F.col(text_col).alias("value")).where(F.col("value").rlike(PLAIN_CODE if code else PLAIN))
     return suspects.where(consistent_form(F.col("value"), code) != F.col("value")).select(F.lit(src).alias("src"), "row_id")

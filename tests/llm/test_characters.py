@@ -28,6 +28,7 @@ def test_text(text):
 
 def test_code_and_conflicts():
     assert C.consistent("ТLDTК ", code=True) == "TLDTK"
+    assert C.consistent("T\u00a0LD²𝐓\U0001f13a", code=True) == "T LD2TK"
     assert C.consistent(None) is None
     with pytest.raises(ValueError):
         C.checked({"a": "b", "b": "c"})
