@@ -3,7 +3,8 @@
 A bounded sample of labelled documents gives a raw-content zstandard dictionary for each
 language. Every sentence is compressed with each dictionary; the smallest result names its
 language, a change of language within a document costs some bytes, so that a narrow margin does
-not make one. Labels of the sample may be wrong: sentences that another dictionary compresses
+not make one. A segment whose margin is still narrow is rejected: it goes to the neighbour that
+fits it better, and a whole text to the language of its label, if that is as near, marked unsure. Labels of the sample may be wrong: sentences that another dictionary compresses
 better leave the sample, and the dictionaries are built again.
 """
 
@@ -30,6 +31,7 @@ DICTIONARY_BYTES = 64_000
 LEVEL = 3
 SWITCH_BYTES = 12
 LABEL_BYTES = 6
+NARROW = 0.05  # the second dictionary needs no more than such a share of bytes more
 LEAST_SENTENCES, SENTENCE_WORDS = 2, 3
 
 # Names of the languages that labels use, besides codes with a region.
@@ -110,25 +112,38 @@ class Classifier:
             path.append(int(step[path[-1]]))
         return path[::-1]
 
+    def accepted(self, path: list[int], rows: np.ndarray, label: str) -> list[tuple[int, int, int, float, bool]]:
+        """(language, first sentence, end, confidence, sure) of each segment of a path, narrow ones
+        rejected."""
+        while True:
+            edges = [0, *(i for i in range(1, len(path)) if path[i] != path[i - 1]), len(path)]
+            out = []
+            for begin, end in zip(edges, edges[1:]):
+                total, lang = rows[begin:end].sum(axis=0), path[begin]
+                rest = np.delete(total, lang)
+                second = int(rest.min()) if len(rest) else int(total[lang])
+                margin = max(0.0, (second - int(total[lang])) / max(second, 1))
+                if margin < NARROW and len(edges) > 2:
+                    beside = [path[k] for k in (begin - 1, end) if 0 <= k < len(path)]
+                    path = [*path[:begin], *[min(beside, key=lambda k: int(total[k]))] * (end - begin), *path[end:]]
+                    break
+                if margin < NARROW and label in self.langs and total[self.langs.index(label)] <= second:
+                    lang = self.langs.index(label)
+                out.append((lang, begin, end, margin, margin >= NARROW))
+            else:
+                return out
+
     def documents(self, texts: list[str | None], labels: list[str]) -> list[list[dict]]:
-        """Segments of each text: lang, start, end, sentences, confidence."""
+        """Segments of each text: lang, start, end, sentences, confidence, sure."""
         spans = [sentences(t) if t else [] for t in texts]
         parts = [prepared(t[a:b]) for t, own in zip(texts, spans) for a, b in own]
         sizes, out, at = self.sizes(parts), [], 0
         for text, own, label in zip(texts, spans, labels):
             rows, segments = sizes[at : at + len(own)], []
             at += len(own)
-            if own:
-                path = self.path(rows, label)
-                begin = 0
-                for i in range(1, len(path) + 1):
-                    if i == len(path) or path[i] != path[begin]:
-                        total = rows[begin:i].sum(axis=0)
-                        best, rest = int(total[path[begin]]), np.delete(total, path[begin])
-                        second = int(rest.min()) if len(rest) else best
-                        full = sum(len(WORD.findall(text, *own[k])) >= SENTENCE_WORDS for k in range(begin, i))
-                        segments.append({"lang": self.langs[path[begin]], "start": 0 if begin == 0 else own[begin][0], "end": len(text) if i == len(path) else own[i][0], "sentences": full, "confidence": max(0.0, (second - best) / max(second, 1))})
-                        begin = i
+            for lang, begin, end, confidence, sure in self.accepted(self.path(rows, label), rows, label) if own else []:
+                full = sum(len(WORD.findall(text, *own[k])) >= SENTENCE_WORDS for k in range(begin, end))
+                segments.append({"lang": self.langs[lang], "start": 0 if begin == 0 else own[begin][0], "end": len(text) if end == len(own) else own[end][0], "sentences": full, "confidence": confidence, "sure": sure})
             out.append(segments)
         return out
 
@@ -203,14 +218,14 @@ def fit(documents: DataFrame, id_col: str, text_col: str, lang_col: str) -> dict
     return train([(r["l"], r["t"]) for r in rows])
 
 
-SEGMENTS = "array<struct<lang:string,start:int,end:int,sentences:int,confidence:double>>"
+SEGMENTS = "array<struct<lang:string,start:int,end:int,sentences:int,confidence:double,sure:boolean>>"
 
 
 def segments(documents: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, label, segments): the language the label names and the segments of the text in
-    order; none for a null text or one without letters. Repeated ids give a row each."""
+    order, with lang, start, end, sentences, confidence and sure; none for a null text or one without letters. Repeated ids give a row each."""
     shared = documents.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))
-    fields = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("sentences", pa.int32()), ("confidence", pa.float64())]))
+    fields = pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("sentences", pa.int32()), ("confidence", pa.float64()), ("sure", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = _classifier(shared.value)

@@ -13,6 +13,24 @@ def sql_folded(x: str) -> str:
 
 _GRAMS = "select distinct {keys}, array_to_string(w[i:i + 7], ' ') as g from (select {keys}, w, unnest(range(1, len(w) - 6)) as i from {source} where len(w) >= 8)"
 
+_ITEMS = """
+    select 'metin' as src, row_id, 0 as pos, metin as text from madde
+    union all select 'fikralar', row_id, (i - 1)::int, fikralar[i] from (select row_id, fikralar, unnest(range(1, len(fikralar) + 1)) as i from madde)
+    union all select 'hit', hit_id, 0, text from hit
+"""
+_OVERLAPS = f"""
+        with e as (select split, eval_id, coalesce(gold_doc_ids, []) as gold, list_distinct({sql_words('question')}) as a from (
+            select 'dev' as split, row_id as eval_id, question, gold_doc_ids from dev_omer union all select 'test', row_id, question, gold_doc_ids from test_full)),
+        t as (select qa_id as train_id, source_doc_id, kanun_short, list_distinct({sql_words('question')}) as b from synthetic_qa),
+        found as (select split, eval_id, train_id, kanun_short from e join t on len(gold) = 0 or list_contains(gold, source_doc_id)
+            where len(a) > 0 and len(b) > 0 and 10 * len(list_intersect(a, b)) >= 7 * (len(a) + len(b) - len(list_intersect(a, b))))
+"""
+_RECORDS = """
+        with r as (select 'dev_omer' as src, row_id as row, id, question from dev_omer
+            union all select 'gold_lines', line_id, json_extract_string(line, '$.id'), json_extract_string(line, '$.question') from gold_lines
+                where json_valid(line) and json_type(case when json_valid(line) then line end) = 'OBJECT')
+"""
+
 ORACLE: dict[str, str] = {
     "p1_found": """
         select 'metin' as src, row_id, 0 as pos from madde where length(metin) > 1500
@@ -21,6 +39,10 @@ ORACLE: dict[str, str] = {
         union all
         select 'hit', hit_id, 0 from hit where length(text) > 1500
     """,
+    "p1_check": f"select src, row_id, pos, md5(text) as digest, true as within, true as overlapping from ({_ITEMS}) where text is not null",
+    "p2_report": f"{_OVERLAPS} select split, kanun_short, count(*) as pairs, count(distinct eval_id) as questions, count(distinct train_id) as training_rows from found group by 1, 2",
+    "p6_records": f"{_RECORDS} select src, min(row) as first_id, count(*) as copies from r group by src, {sql_folded('id')}, {sql_folded('question')}",
+    "p9_check": "select doc_id, true as whole, true as fits from documents where text is not null",
     "p2_found": f"""
         with e as (select split, eval_id, coalesce(gold_doc_ids, []) as gold, list_distinct({sql_words('question')}) as a from (
             select 'dev' as split, row_id as eval_id, question, gold_doc_ids from dev_omer union all select 'test', row_id, question, gold_doc_ids from test_full)),

@@ -20,38 +20,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspark.session import cut
+from lexspark.session import stored
 
 ROWS_PER_SALT = 100_000
 
 
+def least_of_ranges(values: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of consecutive ranges of values, whose entries are numbered from first, the least value and its
+    number, the first of equal ones."""
+    starts = np.cumsum(sizes) - sizes
+    least = np.minimum.reduceat(values, starts)
+    at = np.flatnonzero(values == np.repeat(least, sizes))
+    where = at[np.searchsorted(at, starts)]
+    return least, first + where - starts
+
+
 def bucket_bounds(counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds of at most that many buckets over lengths 1..len(counts)-1 such that the sum
-    of (bound - length) over all items is least. counts[n] is the number of items of length n."""
+    of (bound - length) over all items is least. counts[n] is the number of items of length n.
+
+    A bucket over the distinct lengths i..j costs lengths[j] * items - tokens. Where the last bucket of
+    the best choice begins never moves back as j grows, so each row of the table is filled by halving:
+    for the middle j first, for those below and above it between the begins already known. The
+    middles of one depth are looked at together."""
     lengths = np.flatnonzero(counts[1:]) + 1
     m = len(lengths)
     if m <= buckets:
         return lengths.tolist()
     n = np.concatenate([[0], np.cumsum(counts[lengths])]).astype(np.float64)
-    # cost of a bucket over distinct lengths i..j (bound lengths[j]) is bound * items - tokens; the tokens are the same for all choices
+    depths, spans = [], np.array([[1, m]])
+    while len(spans):
+        a, b = spans.T
+        j = (a + b) // 2
+        depths.append((j, a - 1, b + 1))
+        spans = np.concatenate([np.stack([a, j - 1], 1), np.stack([j + 1, b], 1)])
+        spans = spans[np.argsort(spans[:, 0])]
+        spans = spans[spans[:, 0] <= spans[:, 1]]
     best = np.concatenate([[0.0], lengths * n[1:]])
     choice = np.zeros((buckets, m + 1), dtype=np.int32)
     for k in range(1, buckets):
-        new = best.copy()
-        choice[k] = -1
-        for j in range(1, m + 1):
-            cost = best[:j] + lengths[j - 1] * (n[j] - n[:j])
-            i = int(np.argmin(cost))
-            if cost[i] < new[j]:
-                new[j], choice[k, j] = cost[i], i
+        new, begin = np.zeros(m + 1), np.zeros(m + 2, dtype=np.int64)
+        begin[m + 1] = m
+        for js, below, above in depths:
+            lo, hi = begin[below], np.minimum(begin[above], js - 1)
+            sizes = hi - lo + 1
+            i = np.arange(sizes.sum()) + np.repeat(lo + sizes - np.cumsum(sizes), sizes)
+            cost = best[i] + np.repeat(lengths[js - 1], sizes) * (np.repeat(n[js], sizes) - n[i])
+            new[js], begin[js] = least_of_ranges(cost, lo, sizes)
+        choice[k] = begin[: m + 1]
         best = new
     bounds, j = [], m
-    for k in range(buckets - 1, 0, -1):
-        if j and choice[k, j] >= 0:
+    for k in range(buckets - 1, -1, -1):
+        if j:
             bounds.append(int(lengths[j - 1]))
-            j = int(choice[k, j])
-    if j:
-        bounds.append(int(lengths[j - 1]))
+            j = int(choice[k, j]) if k else 0
     return bounds[::-1]
 
 
@@ -101,7 +123,7 @@ def containers(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_
     Repeated ids are packed row by row. The sum of n_tokens in a container never exceeds the
     capacity. An empty table gives none."""
     spark = lengths.sparkSession
-    sized = cut(lengths.select(id_col, F.col(length_col).cast("bigint").alias("_n")).where("_n is not null"))
+    sized = stored(lengths.select(id_col, F.col(length_col).cast("bigint").alias("_n")).where("_n is not null"))
     last = F.greatest(F.expr(f"(_n - 1) div {capacity}"), F.lit(0))
     pieces = sized.select(id_col, "_n", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("piece")).select(
         id_col, "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity), F.col("_n") - F.col("piece") * capacity).alias("n_tokens")
@@ -118,19 +140,14 @@ def containers(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_
     table = np.array(rules, dtype=np.int64).reshape(-1, 4)
     # a rule is found by one number: bucket, then first rank
     keys = table[:, 0] * (total + 1) + table[:, 1]
-    shared = spark.sparkContext.broadcast((np.array(bounds, dtype=np.int64), table, keys))
+    shared = spark.sparkContext.broadcast((table, keys))
 
     salts = 1 + total // ROWS_PER_SALT
     kind = lengths.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece bigint, start bigint, n_tokens bigint"
-
-    def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bounds_, _, _ = shared.value
-        for batch in batches:
-            n = batch.column(3).to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.searchsorted(bounds_, n), pa.int64())], [*batch.schema.names, "_b"])
-
-    placed = pieces.where("n_tokens > 0").mapInArrow(bucketed, schema + ", _b bigint").withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)))
+    bucket_of = F.lit(np.searchsorted(np.array(bounds, dtype=np.int64), np.arange(1, capacity + 1)).tolist())
+    bucket = F.get(bucket_of, (F.col("n_tokens") - 1).cast("int")).cast("bigint")
+    placed = pieces.where("n_tokens > 0").withColumn("_b", bucket).withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)))
     within = Window.partitionBy("_b", "_salt").orderBy(id_col, "piece")
     offsets = (
         placed.groupBy("_b", "_salt").agg(F.count("*").alias("_c"))
@@ -141,7 +158,7 @@ def containers(lengths: DataFrame, id_col: str = "doc_id", length_col: str = "n_
     ranked = ranked.select(id_col, "piece", "start", "n_tokens", "_b", (F.col("_r") + F.col("_offset")).alias("_rank"))
 
     def assigned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, table_, keys_ = shared.value
+        table_, keys_ = shared.value
         for batch in batches:
             b, rank = batch.column(4).to_numpy(), batch.column(5).to_numpy()
             rule = table_[np.searchsorted(keys_, b * (total + 1) + rank, side="right") - 1]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.llm import bpe, characters, languages, leaks, overlaps, packing, pairs, repeats, scans, split, words
 from lexspark.llm.oracle import ORACLE  # noqa: F401
-from lexspark.session import spread, table
+from lexspark.session import spread, stored, table
 
 
 def _items(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,6 +36,17 @@ def _overlaps(spark: SparkSession, folder: str) -> overlaps.Overlaps:
     return overlaps.overlapping(gold[0].unionByName(gold[1]), spread(train, "train_id"))
 
 
+def p1_check(spark: SparkSession, folder: str) -> DataFrame:
+    """The digest of every item put together again from the new text of its pieces, and whether all
+    its pieces keep to the limit and to the overlap."""
+    pieces = split.split_items(_items(spark, folder), ["src", "row_id", "pos"])
+    new = F.expr("substring(text, new - start + 1)")
+    own = pieces.groupBy("src", "row_id", "pos").agg(
+        F.array_sort(F.collect_list(F.struct("piece", new.alias("new")))).alias("new"), F.bool_and((F.length("text") <= split.LIMIT) & (F.col("end") - F.col("start") == F.length("text"))).alias("within"), F.bool_and(F.col("new") - F.col("start") <= split.OVERLAP).alias("overlapping")
+    )
+    return own.select("src", "row_id", "pos", F.md5(F.array_join(F.col("new.new"), "")).alias("digest"), "within", "overlapping")
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return _overlaps(spark, folder).pairs()
 
@@ -115,13 +126,34 @@ def p7_codes(spark: SparkSession, folder: str) -> DataFrame:
     return counted.join(laws, "code", "left")
 
 
+def _vocabulary(spark: SparkSession) -> str:
+    """The session's lexspark.tokenizer, a path that every executor has."""
+    return spark.conf.get("lexspark.tokenizer", bpe.TOKENIZER)
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.token_ids(spread(table(spark, folder, "documents"), "doc_id"))
+    return bpe.token_ids(spread(table(spark, folder, "documents"), "doc_id"), path=_vocabulary(spark))
 
 
 def p9_containers(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").where(F.col("text").isNotNull())
-    return packing.containers(bpe.token_counts(spread(documents, "doc_id")))
+    return packing.containers(bpe.token_counts(spread(documents, "doc_id"), path=_vocabulary(spark)))
+
+
+def p9_check(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each document's tokens lie in its pieces once and in order, split only if they exceed a
+    container, and no container it is in holds too many."""
+    documents = spread(table(spark, folder, "documents").where(F.col("text").isNotNull()), "doc_id")
+    counts = stored(bpe.token_counts(documents, path=_vocabulary(spark)))
+    packed = stored(packing.containers(counts))
+    full = packed.groupBy("container").agg(F.sum("n_tokens").alias("held"))
+    pieces = packed.join(full, "container").groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"), F.max("piece").alias("last"), F.bool_and(F.col("start") == F.col("piece") * 2048).alias("ordered"), F.max("held").alias("held")
+    )
+    needed = F.greatest(F.ceil(F.col("n_tokens") / 2048), F.lit(1))
+    checked = counts.join(pieces, "doc_id", "left")
+    whole = F.coalesce((F.col("n") == F.col("n_tokens")) & (F.col("pieces") == needed) & (F.col("last") + 1 == needed) & F.col("ordered"), F.lit(False))
+    return checked.select("doc_id", whole.alias("whole"), F.coalesce(F.col("held") <= 2048, F.lit(False)).alias("fits"))
 
 
 def _languages(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,9 +172,9 @@ def p10_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Every segment of every document."""
-    documents = table(spark, folder, "documents")
+    documents = spread(table(spark, folder, "documents").select("doc_id", "text", "lang"), "doc_id")
     found = languages.segments(documents, languages.fit(documents, "doc_id", "text", "lang"))
     return found.select("doc_id", F.posexplode("segments").alias("pos", "s")).select("doc_id", "pos", "s.*")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_report, p3_found, p3_texts, p4_found, p4_passages, p5_found, p6_found, p6_records, p7_found, p7_codes, p8_ids, p9_containers, p10_found, p10_languages, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_check, p2_found, p2_report, p3_found, p3_texts, p4_found, p4_passages, p5_found, p6_found, p6_records, p7_found, p7_codes, p8_ids, p9_containers, p9_check, p10_found, p10_languages, p10_segments)}

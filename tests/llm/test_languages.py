@@ -63,3 +63,22 @@ def test_labels(spark):
     names = {"tr": "tr", "TR": "tr", "tr_TR": "tr", "Türkçe": "tr", "İngilizce": "en", "es-ES": "es", " Deutsch ": "de", "AZ": "az", "it": "other", "und": "", "UNKNOWN": "", None: "", "  ": "", "-": ""}
     df = spark.createDataFrame([(k, v) for k, v in names.items()], "a string, b string")
     assert [r for r in df.withColumn("c", L.label_language(F.col("a"))).collect() if r["b"] != r["c"]] == []
+
+
+def test_narrow_margins_are_rejected():
+    rng = random.Random(5)
+    dictionaries = L.train([(lang, " ".join(sentence(rng, lang) for _ in range(5))) for lang in STOCK for _ in range(40)])
+    c = L.Classifier(dictionaries)
+    import numpy as np
+
+    tr, en, de = (c.langs.index(x) for x in ("tr", "en", "de"))
+    near = np.full((5, len(c.langs)), 90)
+    near[:2, tr], near[2, en], near[2, tr], near[3:, tr] = 40, 60, 61, 40
+    assert [(x[0], x[1], x[2], x[4]) for x in c.accepted([tr, tr, en, tr, tr], near, "")] == [(tr, 0, 5, True)]
+    alone = np.full((1, len(c.langs)), 90)
+    alone[0, tr], alone[0, de] = 60, 61
+    assert [(x[0], x[4]) for x in c.accepted([tr], alone, "")] == [(tr, False)]
+    assert [(x[0], x[4]) for x in c.accepted([tr], alone, "de")] == [(de, False)]
+    assert [(x[0], x[4]) for x in c.accepted([tr], alone, "fr")] == [(tr, False)]
+    found = c.documents([sentence(rng, "tr"), "Qwx 1."], ["", ""])
+    assert found[0][0]["sure"] and not found[1][0]["sure"]
