@@ -63,7 +63,8 @@ _FACTS = f"""
         union all select 'score', query_id, doc_id, row_number() over (partition by query_id order by score desc nulls last, hit_id) from a
         union all select 'overlap', query_id, doc_id, row_number() over (partition by query_id order by overlap desc, first_rank, hit_id) from a),
     lists as (select config, query_id, list(doc_id order by rank) as ids from ranked where rank <= 10 group by 1, 2),
-    g as (select config, query_id, category, ids, list_distinct(coalesce(gold_doc_ids, [])) as gold from lists join gold using (query_id)),
+    g as (select config, query_id, category, coalesce(ids, []) as ids, list_distinct(coalesce(gold_doc_ids, [])) as gold
+        from gold cross join (select unnest(['first', 'score', 'overlap']) as config) left join lists using (config, query_id)),
     facts as (select config, query_id, category, 'recall_5' as metric, (case when len(gold) = 0 then 0.0 else len(list_intersect(ids[:5], gold)) / len(gold) end)::double as value from g
         union all select config, query_id, category, 'mrr_10', coalesce(list_max([case when list_contains(gold, ids[i]) then 1.0::double / i end for i in range(1, 11)]), 0.0)::double from g)
 """
