@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from lexspark.functions import text as T
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[str], salts: int = 16) -> DataFrame:
-    """The first row of each key by the order columns, which should make it unique. Rows are first
-    cut to one per key and salt, so a key of many copies is no single task's."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    for parts in (["_salt"], []):
-        window = Window.partitionBy(*keys, *parts).orderBy(*order)
-        salted = salted.withColumn("_first", F.row_number().over(window)).where("_first = 1")
-    return salted.drop("_salt", "_first")
+def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key by the order columns, which should make it unique. A task sends no
+    more than one row per key, so a key of many copies is no single task's; the result is
+    partitioned by the keys."""
+    window = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_first", F.row_number().over(window)).where("_first = 1").drop("_first")
 
 
 def corpus(madde: DataFrame) -> DataFrame:
@@ -31,7 +29,7 @@ def repeated(df: DataFrame, key: Column, name: str = "key") -> DataFrame:
 def with_law_codes(articles: DataFrame, laws: DataFrame) -> DataFrame:
     """Law code by law number, from laws(kanun_no, short_name), and the doc_id's prefix with it; a
     null or unknown number keeps the code. Adds normalised: whether the number was known."""
-    known = F.broadcast(laws.select(F.col("kanun_no").alias("_no"), F.col("short_name").alias("_code")).where("_no is not null"))
+    known = laws.select(F.col("kanun_no").alias("_no"), F.col("short_name").alias("_code")).where("_no is not null")
     joined = articles.join(known, articles["kanun_no"] == F.col("_no"), "left")
     old = F.col("kanun_short")
     moved = (old != "") & F.col("_code").isNotNull() & F.startswith("doc_id", F.concat(old, F.lit("_")))

@@ -4,27 +4,33 @@ score(q, d) = sum over query tokens, with repetition, of idf * tf (k1+1) / (tf +
 idf(t) = ln(N - df + 0.5) - ln(df + 0.5); below zero it is epsilon times the mean idf of all terms.
 Ranks are by the score rounded to six places, then by key, so that ties do not depend on the
 order of summation.
+
+Terms are counted within each document's row. The postings stay partitioned by document, so that
+a task sums up the scores of its documents for itself and sends only its best per query: neither
+the matches nor the documents of a frequent term ever come together. Queries go to the postings in
+blocks of a bounded number of terms.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.session import cut, spread
+from lexspark.session import cut, spread, stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 PLACES = 6
-#: Query terms above this size are joined by a shuffle instead of being broadcast.
-BROADCAST_TERMS = 200_000
+#: Query terms that are broadcast at a time.
+BLOCK_TERMS = 200_000
 
 
 @dataclass
 class SparseIndex:
-    """postings(term, doc_id, tf), docs(doc_id, len), terms(term, df, idf), n and average length."""
+    """postings(term, doc_id, tf, len), docs(doc_id, len), terms(term, df, idf), n and average length."""
 
     postings: DataFrame
     docs: DataFrame
@@ -34,19 +40,20 @@ class SparseIndex:
 
     @classmethod
     def build(cls, documents: DataFrame, text: str = "text", epsilon: float = EPSILON) -> SparseIndex:
-        """Of documents(doc_id, text); doc_id unique. Empty texts count in n and the average."""
-        spread_out = spread(documents.select("doc_id", text), "doc_id")
-        tokens = spread_out.select("doc_id", F.explode_outer(T.tokenize(F.col(text))).alias("term"))
-        # one pass over the texts; an empty text keeps a row without a term
-        counted = cut(tokens.groupBy("term", "doc_id").agg(F.count("*").alias("tf")))
-        postings = counted.where("term is not null")
-        docs = counted.groupBy("doc_id").agg(F.sum(F.when(F.col("term").isNotNull(), F.col("tf")).otherwise(0)).alias("len"))
-        totals = docs.agg(F.count("*").alias("n"), F.avg("len").alias("average")).collect()[0]
-        df = postings.groupBy("term").agg(F.count("*").alias("df"))
-        raw = df.withColumn("raw", F.ln(F.lit(totals["n"]) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+        """Of documents(doc_id, text); doc_id unique. Empty texts count in n and the average. Documents
+        that are partitioned by doc_id are not shuffled."""
+        words = spread(documents.select("doc_id", text), "doc_id").select("doc_id", T.tokenize(F.col(text)).alias("words"))
+        counted = words.select("doc_id", F.size("words").cast("bigint").alias("len"), T.term_frequencies(F.col("words")).alias("found"))
+        whole = counted.groupBy("doc_id").agg(F.first("len").alias("len"), F.first("found").alias("found"))
+        # an empty text keeps a row without a term
+        rows = whole.select("doc_id", "len", F.posexplode_outer("found").alias("at", "x")).select("doc_id", "len", F.coalesce("at", F.lit(0)).alias("at"), "x.term", F.col("x.tf").cast("bigint").alias("tf"))
+        rows = cut(rows, keep_partitioning=True)
+        per_term = stored(rows.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("at") == 0).alias("docs"), F.sum(F.when(F.col("at") == 0, F.col("len"))).alias("tokens")))
+        totals = per_term.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.sum("tokens").alias("tokens")).collect()[0]
+        raw = per_term.where("term is not null").withColumn("raw", F.ln(F.lit(totals["n"]) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw")).collect()[0][0] or 0.0
         terms = raw.select("term", "df", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
-        return cls(postings, docs, terms, totals["n"], totals["average"] or 0.0)
+        return cls(rows.where("term is not null").select("term", "doc_id", "tf", "len"), rows.where("at = 0").select("doc_id", "len"), terms, totals["n"], (totals["tokens"] or 0) / max(1, totals["n"]))
 
     def save(self, folder: str, parts: int = 16) -> None:
         """Write the index; postings are spread by term, so a lookup reads a share of the files."""
@@ -57,18 +64,21 @@ class SparseIndex:
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> SparseIndex:
-        """A missing table raises when it is opened."""
+        """A missing table raises when it is opened. Written postings are no longer partitioned by
+        document: scores summed up within a task are then shuffled once."""
         totals = spark.read.parquet(f"{folder}/totals").collect()[0]
-        return cls(spark.read.parquet(f"{folder}/postings").select("term", "doc_id", "tf"), spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/terms"), totals["n"], totals["average"])
+        return cls(spark.read.parquet(f"{folder}/postings").select("term", "doc_id", "tf", "len"), spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/terms"), totals["n"], totals["average"])
 
-    def scores(self, queries: DataFrame, text: str = "question", k1: float = K1, b: float = B) -> DataFrame:
+    def scores(self, queries: DataFrame, text: str = "question", k1: float = K1, b: float = B, block_terms: int = BLOCK_TERMS) -> DataFrame:
         """(query_id, doc_id, score) of every pair that shares a term, for queries(query_id, text)."""
         wanted = queries.select("query_id", F.explode(T.tokenize(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
-        small = wanted.count() <= BROADCAST_TERMS
-        weighted = wanted.join(self.terms, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight"))
-        matches = self.postings.join(F.broadcast(weighted) if small else weighted, "term").join(self.docs, "doc_id")
+        weighted = stored(wanted.join(self.terms, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight")))
+        blocks = max(1, -(-weighted.count() // block_terms))
         tf, length = F.col("tf"), k1 * (1 - b + b * F.col("len") / F.lit(self.average or 1.0))
-        return matches.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("weight") * tf * (k1 + 1) / (tf + length)), PLACES).alias("score"))
+        score = F.round(F.sum(F.col("weight") * tf * (k1 + 1) / (tf + length)), PLACES).alias("score")
+        own = (weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks))
+        scored = (self.postings.join(F.broadcast(w), "term").groupBy("query_id", "doc_id").agg(score) for w in own)
+        return functools.reduce(DataFrame.unionByName, scored)
 
     def search(self, queries: DataFrame, top_k: int = 10, text: str = "question", pad: bool = False) -> DataFrame:
         """(query_id, doc_id, score, rank) of the best documents of each query, ranks from 1. Only

@@ -13,7 +13,7 @@ from lexspark.operators import evaluation as E
 from lexspark.operators.search import Retriever
 from lexspark.operators.sparse import SparseIndex
 from lexspark.plans.registry import CORPUS, INDEXING_TEXT, QUESTIONS, query, sql_bm25, sql_tokens
-from lexspark.session import table
+from lexspark.session import cut, stored, table
 
 QUERY_EVERY = 50
 
@@ -35,10 +35,6 @@ def full_text(spark: SparkSession, folder: str) -> DataFrame:
     return articles(spark, folder).select("doc_id", T.indexing_text(F.col("kanun_full"), F.col("madde_no"), F.col("baslik"), F.col("metin")).alias("text"))
 
 
-def body(spark: SparkSession, folder: str) -> DataFrame:
-    return articles(spark, folder).select("doc_id", F.col("metin").alias("text"))
-
-
 def long(df: DataFrame) -> DataFrame:
     """Ranks as SQL counts them."""
     return df.withColumn("rank", F.col("rank").cast("bigint")).withColumn("score", F.round("score", 6))
@@ -104,9 +100,10 @@ def dense_label_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """A vector is found if its neighbours, itself aside, bear its label."""
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
     asked = vectors.where(F.col("doc_id") % QUERY_EVERY == 0).withColumnRenamed("doc_id", "query_id")
-    found = dense.search(vectors, asked, 11).where("doc_id <> query_id")
+    first = stored(dense.search(vectors, asked, 11))
+    found = first.where("doc_id <> query_id")
     # without itself the later ranks move up by one, if it was among the first 11
-    own = dense.search(vectors, asked, 11).where("doc_id = query_id").select("query_id", F.col("rank").alias("own_rank"))
+    own = first.where("doc_id = query_id").select("query_id", F.col("rank").alias("own_rank"))
     moved = found.join(own, "query_id", "left").withColumn("rank", F.when(F.col("rank") > F.col("own_rank"), F.col("rank") - 1).otherwise(F.col("rank"))).where("rank <= 10")
     labels = vectors.select("doc_id", "label")
     joined = moved.join(labels, "doc_id").join(labels.select(F.col("doc_id").alias("query_id"), F.col("label").alias("own")), "query_id")
@@ -117,12 +114,12 @@ def dense_label_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def dense_cells_recall(spark: SparkSession, folder: str) -> DataFrame:
-    """Per query the share of the exact first ten that the index of cells finds. These vectors have
-    little structure: it takes 40 of 64 cells to find well over nine in ten of them."""
+    """Per query the share of the exact first ten that the index of cells finds, as many cells being
+    probed as a sample of the queries needs. These vectors have little structure: it takes most cells."""
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     asked = vectors.where(F.col("doc_id") % QUERY_EVERY == 0).withColumnRenamed("doc_id", "query_id")
     centres = dense.fit_cells(vectors, 64)
-    near = dense.search_cells(dense.with_cells(vectors, centres), centres, asked, probes=40)
+    near = dense.search_index(dense.with_cells(vectors, centres), centres, asked)
     exact = dense.search(vectors, asked)
     found = exact.join(near.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
     return found.groupBy("query_id").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count("*")).alias("recall"))
@@ -134,8 +131,8 @@ _TWO = f"{_HEAD} {sql_bm25('metin', 'a_', 50)}, {sql_bm25('baslik', 'b_', 50)}"
 def _two(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Rankings by body and by heading."""
     asked = questions(spark, folder)
-    headings = articles(spark, folder).select("doc_id", F.col("baslik").alias("text"))
-    return SparseIndex.build(body(spark, folder)).search(asked, 50), SparseIndex.build(headings).search(asked, 50)
+    texts = cut(articles(spark, folder).select("doc_id", "metin", "baslik"), keep_partitioning=True)
+    return SparseIndex.build(texts, "metin").search(asked, 50), SparseIndex.build(texts, "baslik").search(asked, 50)
 
 
 @query(f"""
@@ -165,7 +162,7 @@ def hybrid_weighted_boost(spark: SparkSession, folder: str) -> DataFrame:
     laws = articles(spark, folder).select("doc_id", "kanun_short")
     gold = questions(spark, folder).select("query_id", F.explode("gold_doc_ids").alias("doc_id")).join(laws, "doc_id").select("query_id", "kanun_short").distinct()
     pairs = a.select("query_id", "doc_id").unionByName(b.select("query_id", "doc_id")).distinct()
-    boost = pairs.join(laws, "doc_id").join(F.broadcast(gold), ["query_id", "kanun_short"], "left_semi").select("query_id", "doc_id")
+    boost = pairs.join(laws, "doc_id").join(gold, ["query_id", "kanun_short"], "left_semi").select("query_id", "doc_id")
     return long(top(fuse.weighted(a, b, boost), 20))
 
 
