@@ -188,6 +188,13 @@ def citation_keys_compat(pairs: Column) -> Column:
     return F.array_distinct(F.transform(usable, lambda p: F.concat(F.lower(F.translate(p[0], "İ", "i")), F.lit("|"), F.lower(p[1]))))
 
 
+def id_array(value: Column) -> Column:
+    """An array of ids from JSON text that is an array of strings or one bare string; empty for null
+    and for the empty text."""
+    bare = F.trim(F.coalesce(value, F.lit("")))
+    return F.when(bare.startswith("["), F.coalesce(F.from_json(bare, "array<string>"), F.array().cast("array<string>"))).when(bare == "", F.array().cast("array<string>")).otherwise(F.array(bare))
+
+
 def json_part(text: Column, array: bool) -> Column:
     """The JSON array or object in a model's reply, without fences and talk; null if there is none."""
     bare = F.regexp_replace(text, r"```(?:json)?", "")

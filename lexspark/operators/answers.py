@@ -14,11 +14,15 @@ from lexspark.operators.sparse import PLACES
 CONTEXT_CHARS = 6000
 SEPARATOR = "\n\n"
 
-# The wording of the assistant, of the prompt and of the answer without sources.
+#: What an assistant is told; a model may be given another wording.
 SYSTEM_PROMPT = (
-    "Sen Türk hukuku alanında uzman bir asistansın. Soruyu yalnızca verilen kanun maddelerine dayanarak cevapla. "
-    'Her iddianın sonunda "[KısaAd m.MaddeNo]" biçiminde atıf yap. Maddelerde cevap yoksa bunu açıkça söyle.'
+    "Mevzuat sorularını, yanında verilen maddelerden başka bir kaynağa başvurmadan yanıtla. Her cümlenin dayanağını köşeli "
+    "ayraç içinde kanun kısaltması ve madde numarasıyla, [ABC m.1] gibi göster. Maddeler soruyu yanıtlamıyorsa bunu belirt."
 )
+#: What a model is told that makes questions from an article: how many, and what of the article.
+SYNTHESIS_PROMPT = ("Aşağıdaki maddeden ", " soru ve cevap üret; yalnızca question, answer ve difficulty alanlı nesnelerden oluşan bir JSON dizisi döndür.\n\nMadde: ", "\nBaşlık: ", "\n\n")
+SYNTHESIS_CHARS, NO_HEADING = 3500, "(başlıksız)"
+# The wording of the prompt and of the answer without sources.
 USER_PROMPT = ("Soru: ", "\n\nKaynak Maddeler:\n", "\n\nCevap:")
 NO_ANSWER = "Verilen kaynaklarda bu sorunun cevabı bulunmamaktadır."
 DUMMY = "(DUMMY) Verilen kaynaklara göre: "
@@ -57,6 +61,13 @@ def context(hits: DataFrame, limit: int = CONTEXT_CHARS, missing: str = "") -> D
     return fitting.groupBy("query_id").agg(text.alias("context"), F.count_if("_fits").alias("used"))
 
 
+def context_of_ids(rows: DataFrame, articles: DataFrame, limit: int = CONTEXT_CHARS) -> DataFrame:
+    """(query_id, context, used) of the articles that rows(query_id, doc_ids) name, in their order; ids
+    that articles(doc_id, ...) lacks are passed over, rows without any have no context."""
+    named = rows.select("query_id", F.posexplode("doc_ids").alias("rank", "doc_id")).join(articles.select("doc_id", "kanun_short", "madde_no", "baslik", F.col("metin").alias("text")), "doc_id")
+    return context(named, limit)
+
+
 def prompt(question: Column, context_: Column, limit: int = CONTEXT_CHARS) -> Column:
     return F.concat(F.lit(USER_PROMPT[0]), question, F.lit(USER_PROMPT[1]), F.left(context_, F.lit(limit)), F.lit(USER_PROMPT[2]))
 
@@ -82,6 +93,23 @@ def generate(prompts: DataFrame, model: Callable[[list[tuple[str, str]]], list[s
     return prompts.select("query_id", "prompt").mapInArrow(run, f"query_id {kind}, answer string")
 
 
+def synthesis_prompt(law: Column, number: Column, heading: Column, body: Column, questions: int = 2) -> Column:
+    """What a model is asked to make questions of an article; the article is cut."""
+    head = F.concat(F.coalesce(law, F.lit("")), F.lit(" m."), F.coalesce(number, F.lit("")))
+    title = F.coalesce(F.nullif(heading, F.lit("")), F.lit(NO_HEADING))
+    a, b, c, d = map(F.lit, SYNTHESIS_PROMPT)
+    return F.concat(a, F.lit(str(questions)), b, head, c, title, d, F.left(F.coalesce(body, F.lit("")), F.lit(SYNTHESIS_CHARS)))
+
+
+def synthesised(replies: DataFrame, key: str, reply: str = "reply") -> DataFrame:
+    """(key, pos, question, answer, difficulty) of the items in replies that are a JSON array, fences and
+    talk aside: items with both question and answer, lookup being the default difficulty. Replies
+    without an array, and items that are no objects, give none."""
+    items = F.from_json(T.json_part(F.col(reply), array=True), "array<struct<question:string,answer:string,difficulty:string>>")
+    rows = replies.select(key, F.posexplode(items).alias("pos", "x")).where("x.question is not null and x.answer is not null")
+    return rows.select(key, "pos", "x.question", "x.answer", F.coalesce("x.difficulty", F.lit("lookup")).alias("difficulty"))
+
+
 def source_line(position: Column, law: Column, number: Column, score: Column, body: Column) -> Column:
     """A source as a list shows it: head, score and a preview on one line."""
     preview = F.translate(F.left(F.coalesce(body, F.lit("")), F.lit(300)), "\n", " ")

@@ -45,11 +45,28 @@ def average_precision(scored: DataFrame, by: str = "query_id") -> DataFrame:
 
 
 def gate(ranks: DataFrame, rank: str = "rank") -> DataFrame:
-    """One row: share of positives at ranks up to 1, 5 and 10, mean reciprocal and mean rank."""
+    """One row: share of positives at ranks up to 1, 5 and 10, mean reciprocal and mean rank. A positive
+    without a rank counts as not found; the mean rank is over those that have one, all of them where
+    ranks are taken within mining.gate_pools."""
     r = F.col(rank)
     return ranks.agg(*[F.round(F.avg((F.coalesce(r, F.lit(1 << 30)) <= k).cast("double")), 6).alias(f"r_{k}") for k in (1, 5, 10)], F.round(F.avg(F.coalesce(1.0 / r, F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(r), 6).alias("mean_rank"))
 
 
+def threshold_metrics(scored: DataFrame, score: str = "score", relevant: str = "relevant") -> DataFrame:
+    """One row over scored(score, relevant): the best accuracy and the best F1 that a threshold reaches,
+    the highest such thresholds, precision and recall at the F1's, and the average precision. Scores
+    are rounded to six places, so that those from 0 to 1 make a histogram of bounded size. Null scores
+    do not count."""
+    by = scored.where(F.col(score).isNotNull()).groupBy(F.round(score, 6).alias("t")).agg(F.count_if(relevant).alias("p"), F.count_if(~F.col(relevant)).alias("q"))
+    upto, whole = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
+    at = by.select("t", "p", F.sum("p").over(upto).alias("tp"), F.sum("q").over(upto).alias("fp"), F.sum("p").over(whole).alias("np"), F.sum("q").over(whole).alias("nq"))
+    precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.coalesce(F.col("tp") / F.nullif("np", F.lit(0)), F.lit(0.0))
+    at = at.select("t", ((F.col("tp") + F.col("nq") - F.col("fp")) / (F.col("np") + F.col("nq"))).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), (2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("np"))).alias("f1"), F.coalesce(precision * F.col("p") / F.nullif("np", F.lit(0)), F.lit(0.0)).alias("gain"))
+    best = at.agg(F.max(F.struct(F.round("accuracy", 9).alias("accuracy"), "t")).alias("a"), F.max(F.struct(F.round("f1", 9).alias("f1"), "t", "precision", "recall")).alias("b"), F.sum("gain").alias("ap"))
+    columns = {"accuracy": "a.accuracy", "accuracy_threshold": "a.t", "f1": "b.f1", "f1_threshold": "b.t", "precision": "b.precision", "recall": "b.recall", "average_precision": "ap"}
+    return best.select(*[F.round(c, 6).alias(n) for n, c in columns.items()])
+
+
 def long_form(wide: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """(keys, metric, value) of a wide table of metrics."""
     return wide.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(keys, metrics, "metric", "value")
@@ -90,6 +107,13 @@ def configurations(means: DataFrame, names: list[str]) -> DataFrame:
     return wanted.join(means, "config", "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("status", F.when(F.col("metric").isNull(), "missing").otherwise("ok"))
 
 
+def summary_facts(summaries: DataFrame, groups: tuple[str, ...] = ("retrieval", "answer", "citation")) -> DataFrame:
+    """(config, metric, value) of nested summaries(config, <group> map<string,double>...), rounded to four
+    places; groups that are missing or null give none."""
+    maps = [F.coalesce(F.col(g), F.create_map().cast("map<string,double>")) for g in groups if g in summaries.columns]
+    return summaries.select("config", F.explode(F.map_concat(*maps)).alias("metric", "value")).withColumn("value", F.round("value", 4))
+
+
 def markdown(rows: list[dict], columns: list[str]) -> str:
     """A Markdown table of a few rows that a report has collected."""
 

@@ -66,6 +66,17 @@ def missing_documents(rows: DataFrame, corpus_ids: DataFrame, key: str = "id") -
     return gold.join(corpus_ids.select("doc_id").distinct(), "doc_id", "left_anti").groupBy(key).agg(F.array_sort(F.collect_set("doc_id")).alias("missing"))
 
 
+def citations(rows: DataFrame, articles: DataFrame, key: str = "id") -> DataFrame:
+    """(key, citations): the citation keys of each row's gold_citations or, where it lists none, of its
+    gold documents that are in articles(doc_id, kanun_short, madde_no); sorted, empty if there are
+    neither. key unique."""
+    law = F.concat(T.tr_lower(F.trim("kanun_short")), F.lit("|"), F.lower(F.trim("madde_no")))
+    gold = rows.where(F.size(T.citation_keys(F.col("gold_citations"))) == 0).select(key, F.explode("gold_doc_ids").alias("doc_id"))
+    derived = gold.join(articles.select("doc_id", law.alias("_c")), "doc_id").groupBy(key).agg(F.collect_set("_c").alias("_derived"))
+    listed = T.citation_keys(F.col("gold_citations"))
+    return rows.join(derived, key, "left").select(key, F.array_sort(F.when(F.size(listed) > 0, listed).otherwise(F.coalesce("_derived", F.array().cast("array<string>")))).alias("citations"))
+
+
 def splittable(rows: DataFrame, corpus_ids: DataFrame, key: str = "id") -> DataFrame:
     """Rows with a gold id in the corpus, or of difficulty no_answer; key unique."""
     found = rows.select(key, F.explode("gold_doc_ids").alias("doc_id")).join(corpus_ids.select("doc_id").distinct(), "doc_id", "left_semi").select(key).distinct().withColumn("_found", F.lit(True))

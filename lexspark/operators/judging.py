@@ -12,6 +12,23 @@ CLAIMS = "struct<claims:array<struct<claim:string,verdict:string,reason:string>>
 SUPPORTED, PARTIAL = 0.8, 0.4
 
 
+#: What a judge is told, before the question, the answer and the sources, and at the end.
+JUDGE_PROMPT = (
+    "Cevaptaki her iddiayı yalnızca kaynaklara göre SUPPORTED, PARTIAL veya UNSUPPORTED olarak değerlendir.\n\nSoru: ",
+    "\n\nCevap:\n",
+    "\n\nKaynaklar:\n",
+    '\n\nYalnızca JSON döndür: {"claims": [{"claim": "", "verdict": "", "reason": ""}]}',
+)
+JUDGE_CHARS = 6000
+
+
+def judge_prompt(question: Column, answer: Column, sources: Column, limit: int = JUDGE_CHARS) -> Column:
+    """What a judge is asked; the sources are cut, null parts are empty."""
+    a, b, c, d = map(F.lit, JUDGE_PROMPT)
+    text = lambda x: F.coalesce(x, F.lit(""))
+    return F.concat(a, text(question), b, text(answer), c, F.left(text(sources), F.lit(limit)), d)
+
+
 def judged(reply: Column) -> Column:
     """struct(faithfulness, claims, error) of a judge's reply. The score is computed from the
     verdicts, never taken from the reply; a reply without JSON or claims has a null score."""

@@ -53,6 +53,27 @@ def nearest_rank(df: DataFrame, value: Column, shares: list[float]) -> DataFrame
     return wanted.where(F.col("upto") > F.floor(F.col("total") * F.col("share"))).groupBy("share").agg(F.min("value").alias("value"))
 
 
+def share_split(df: DataFrame, key: Column, share: float = 0.05, seed: int = 42) -> DataFrame:
+    """df with a split column: the share of least hash, rounded up, is test, the rest train."""
+    ranked = hash_rank(df, [], key, seed)
+    return ranked.select(*df.columns, F.when(F.col("rank") <= F.ceil(F.col("group_size") * share), "test").otherwise("train").alias("split"))
+
+
+def draws(asked: DataFrame, pool: DataFrame, key: str, group: str, value: str, seed: int = 42) -> DataFrame:
+    """(key, value, place) for asked(key, group, wanted): so many values of pool(group, value) from the
+    query's group, places from 0. The values of a group stand in the order of md5(seed:value), and each
+    query begins at the place that the first eight digits of md5(seed:key) give and goes on round the
+    end. So any value may be drawn, and a query meets only those it draws, however large its group.
+    Null groups have none."""
+    ranked = hash_rank(pool.where(F.col(group).isNotNull()), [group], F.col(value), seed, "_rank")
+    begin = F.conv(F.left(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.lit(8)), 16, 10).cast("bigint")
+    sized = asked.join(ranked.where("_rank = 1").select(group, "group_size"), group)
+    most = F.least(F.col("wanted").cast("bigint"), F.col("group_size"))
+    spots = sized.where(most > 0).select(key, group, "group_size", begin.alias("_begin"), F.explode(F.sequence(F.lit(0).cast("bigint"), most - 1)).alias("place"))
+    spots = spots.withColumn("_rank", (F.col("_begin") + F.col("place")) % F.col("group_size") + 1)
+    return spots.drop("group_size").join(ranked.select(group, value, "_rank"), [group, "_rank"]).select(key, value, "place")
+
+
 def join_groups(members: DataFrame, groups: DataFrame, keys: list[str], size: str, rows: int = 100_000) -> DataFrame:
     """members joined with groups(keys, size, ...) on the keys, size being how many members a key has.
     Members of a key of more than so many are spread over salts, and the key's rows in groups

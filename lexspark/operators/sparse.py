@@ -44,16 +44,15 @@ class SparseIndex:
         that are partitioned by doc_id are not shuffled."""
         words = spread(documents.select("doc_id", text), "doc_id").select("doc_id", T.tokenize(F.col(text)).alias("words"))
         counted = words.select("doc_id", F.size("words").cast("bigint").alias("len"), T.term_frequencies(F.col("words")).alias("found"))
-        whole = counted.groupBy("doc_id").agg(F.first("len").alias("len"), F.first("found").alias("found"))
+        whole = cut(counted.groupBy("doc_id").agg(F.first("len").alias("len"), F.first("found").alias("found")), keep_partitioning=True)
         # an empty text keeps a row without a term
         rows = whole.select("doc_id", "len", F.posexplode_outer("found").alias("at", "x")).select("doc_id", "len", F.coalesce("at", F.lit(0)).alias("at"), "x.term", F.col("x.tf").cast("bigint").alias("tf"))
-        rows = cut(rows, keep_partitioning=True)
         per_term = stored(rows.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("at") == 0).alias("docs"), F.sum(F.when(F.col("at") == 0, F.col("len"))).alias("tokens")))
         totals = per_term.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.sum("tokens").alias("tokens")).collect()[0]
         raw = per_term.where("term is not null").withColumn("raw", F.ln(F.lit(totals["n"]) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw")).collect()[0][0] or 0.0
         terms = raw.select("term", "df", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
-        return cls(rows.where("term is not null").select("term", "doc_id", "tf", "len"), rows.where("at = 0").select("doc_id", "len"), terms, totals["n"], (totals["tokens"] or 0) / max(1, totals["n"]))
+        return cls(rows.where("term is not null").select("term", "doc_id", "tf", "len"), whole.select("doc_id", "len"), terms, totals["n"], (totals["tokens"] or 0) / max(1, totals["n"]))
 
     def save(self, folder: str, parts: int = 16) -> None:
         """Write the index; postings are spread by term, so a lookup reads a share of the files."""

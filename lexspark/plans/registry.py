@@ -57,4 +57,18 @@ def sql_bm25(text: str, prefix: str = "", k: int = 10) -> str:
 """
 
 
+def sql_dense(text: str, prefix: str = "d_", k: int = 50) -> str:
+    """CTEs that end in <prefix>ranked(query_id, doc_id, score, rank) by the stand-in encoder's vectors."""
+    p = prefix
+    vectors = "select {0}, h % 64 as dim, sum(case when h >= 2147483648 then -1.0::double else 1.0 end) as v from (select {0}, ('0x' || substr(md5(t), 1, 8))::bigint as h from (select {0}, unnest({1}) as t from {2})) group by 1, 2"
+    unit = "select {0}, dim, v / greatest(sqrt(sum(v * v) over (partition by {0})), 1e-12) as v from ({1})"
+    return f"""
+{p}docs as ({unit.format('doc_id', vectors.format('doc_id', sql_tokens(text), 'corpus'))}),
+{p}asked as ({unit.format('query_id', vectors.format('query_id', sql_tokens('question'), 'questions'))}),
+{p}dots as (select query_id, doc_id, sum(q.v * d.v) as s from {p}asked q join {p}docs d using (dim) group by 1, 2),
+{p}scored as (select q.query_id, c.doc_id, round(coalesce(s, 0.0), 6) as score from questions q cross join corpus c left join {p}dots using (query_id, doc_id)),
+{p}ranked as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from {p}scored) where rank <= {k})
+"""
+
+
 INDEXING_TEXT = "trim(concat_ws(' ', nullif(kanun_full, ''), 'Madde ' || coalesce(madde_no, ''), nullif(baslik, ''), nullif(metin, '')))"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
@@ -12,7 +12,7 @@ from lexspark.operators import dense, fuse, mining
 from lexspark.operators import evaluation as E
 from lexspark.operators.search import Retriever
 from lexspark.operators.sparse import SparseIndex
-from lexspark.plans.registry import CORPUS, INDEXING_TEXT, QUESTIONS, query, sql_bm25, sql_tokens
+from lexspark.plans.registry import CORPUS, INDEXING_TEXT, QUESTIONS, query, sql_bm25, sql_dense, sql_tokens
 from lexspark.session import cut, stored, table
 
 QUERY_EVERY = 50
@@ -31,8 +31,13 @@ def questions(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def full_text_of() -> Column:
+    """What is indexed of an article."""
+    return T.indexing_text(F.col("kanun_full"), F.col("madde_no"), F.col("baslik"), F.col("metin"))
+
+
 def full_text(spark: SparkSession, folder: str) -> DataFrame:
-    return articles(spark, folder).select("doc_id", T.indexing_text(F.col("kanun_full"), F.col("madde_no"), F.col("baslik"), F.col("metin")).alias("text"))
+    return articles(spark, folder).select("doc_id", full_text_of().alias("text"))
 
 
 def long(df: DataFrame) -> DataFrame:
@@ -166,11 +171,18 @@ def hybrid_weighted_boost(spark: SparkSession, folder: str) -> DataFrame:
     return long(top(fuse.weighted(a, b, boost), 20))
 
 
-@query()
+@query(f"""
+    {_HEAD} {sql_bm25(INDEXING_TEXT, k=50)}, {sql_dense(INDEXING_TEXT)},
+    u as (select query_id, doc_id, 1.0::double / (60 + rank) as s, (0, rank) as place from ranked union all select query_id, doc_id, 1.0::double / (60 + rank), (1, rank) from d_ranked),
+    f as (select query_id, doc_id, sum(s) as score, min(place) as place from u group by 1, 2),
+    r as (select *, row_number() over (partition by query_id order by round(score, 12) desc, place, doc_id) - 1 as rank from f)
+    select query_id, rank, doc_id, round(score, 6) as score, kanun_short, madde_no from r join corpus using (doc_id) where rank < 10
+""")
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """The whole retriever, sparse and dense, with the stand-in encoder."""
-    hits = Retriever.build(articles(spark, folder)).search(questions(spark, folder), 10, "hybrid")
-    return hits.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"), "kanun_short", "madde_no")
+    corpus = cut(articles(spark, folder), keep_partitioning=True)
+    hits = Retriever.build(corpus).search(questions(spark, folder), 10, "hybrid")
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", F.round("score", 6).alias("score"), "kanun_short", "madde_no")
 
 
 _OVERLAP = f"round(coalesce(len(list_intersect(list_distinct({sql_tokens('question')}), list_distinct({sql_tokens('text')}))) / nullif(len(list_distinct({sql_tokens('question')})), 0), 0.0), 6)"
@@ -234,28 +246,33 @@ def source_lines(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "hit").where("score is not null").select("hit_id", F.md5(line).alias("line"))
 
 
-def _positives(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _positives(spark: SparkSession, folder: str, depth: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Training questions of the stated query set with their article, the corpus, and their BM25
     ranking."""
-    corpus = articles(spark, folder)
+    corpus = cut(articles(spark, folder).select("doc_id", "kanun_short", "kanun_full", "madde_no", "baslik", "metin"), keep_partitioning=True)
     asked = table(spark, folder, "synthetic_qa").where(F.col("qa_id") % QUERY_EVERY == 0).select(F.col("qa_id").alias("query_id"), "question", F.col("source_doc_id").alias("doc_id"))
     positive, _ = mining.positives(asked, corpus)
-    return positive, corpus, SparseIndex.build(full_text(spark, folder)).search(asked.select("query_id", "question"), 20)
+    return positive, corpus, SparseIndex.build(corpus.select("doc_id", full_text_of().alias("text"))).search(asked.select("query_id", "question"), depth)
 
 
 _TRAIN = "questions as (select qa_id as query_id, question, source_doc_id from synthetic_qa where qa_id % 50 = 0)"
-_MINE = f"""
-    with {CORPUS}, {_TRAIN}, {sql_bm25(INDEXING_TEXT, k=20)},
+def _mine(depth: int) -> str:
+    return f"""
+    with {CORPUS}, {_TRAIN}, {sql_bm25(INDEXING_TEXT, k=depth)},
     positive as (select query_id, question, source_doc_id as doc_id, kanun_short from questions q join corpus c on c.doc_id = q.source_doc_id),
     neg as (select * from (select r.query_id, r.doc_id, row_number() over (partition by r.query_id order by r.rank, r.doc_id) as place from ranked r join positive p on p.query_id = r.query_id and p.doc_id <> r.doc_id) where place <= 8),
     have as (select p.query_id, p.doc_id as positive_id, p.kanun_short, count(n.query_id) as have from positive p left join neg n using (query_id) group by 1, 2, 3),
-    pool as (select kanun_short, doc_id, row_number() over (partition by kanun_short order by md5('42:' || doc_id)) as rn from corpus),
-    fresh as (select h.query_id, c.doc_id, h.have + row_number() over (partition by h.query_id order by md5('42:' || h.query_id || ':' || c.doc_id), c.doc_id) as place
-        from have h join pool c on c.kanun_short = h.kanun_short and c.rn <= 64 and c.doc_id <> h.positive_id where h.have < 8 and not exists (select 1 from neg n where n.query_id = h.query_id and n.doc_id = c.doc_id)),
+    pool as (select kanun_short, doc_id, row_number() over (partition by kanun_short order by md5('42:' || doc_id)) as rn, count(*) over (partition by kanun_short) as size from corpus),
+    spots as (select *, unnest(range(9)) as draw from have where have < 8),
+    drawn as (select s.*, p.doc_id from spots s join pool p on p.kanun_short = s.kanun_short and draw < size and rn = (('0x' || substr(md5('42:' || s.query_id), 1, 8))::bigint + draw) % size + 1),
+    fresh as (select query_id, doc_id, have + row_number() over (partition by query_id order by draw) as place from drawn d where doc_id <> positive_id and not exists (select 1 from neg n where n.query_id = d.query_id and n.doc_id = d.doc_id)),
     negatives as (select query_id, doc_id, place, false as is_padding from neg union all select query_id, doc_id, place, true from fresh where place <= 8)
 """
 
 
+_MINE = _mine(20)
+
+
 @query(f"{_MINE} select query_id, doc_id, place, is_padding from negatives")
 def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     positive, corpus, ranked = _positives(spark, folder)
@@ -263,6 +280,14 @@ def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("place", F.col("place").cast("bigint"))
 
 
+@query(f"{_mine(4)} select query_id, doc_id, place, is_padding from negatives")
+def padded_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from rankings so short that every question is filled up with articles of its law."""
+    positive, corpus, ranked = _positives(spark, folder, 4)
+    found = mining.padded(mining.from_ranking(ranked, positive, 8), positive, corpus, 8)
+    return found.withColumn("place", F.col("place").cast("bigint"))
+
+
 @query(f"""
     {_MINE}, pr as (select p.query_id, r.rank, p.kanun_short from positive p left join ranked r on r.query_id = p.query_id and r.doc_id = p.doc_id),
     per as (select n.query_id, bool_or(is_padding) as padded, count(*) filter (c.kanun_short = p.kanun_short) as same_law from negatives n join corpus c using (doc_id) join positive p on p.query_id = n.query_id group by 1)
