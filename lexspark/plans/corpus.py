@@ -92,13 +92,18 @@ def clean_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
-@query("""
-    with cut as (select row_id, metin, string_split(regexp_replace(metin, '(?i)(^|\\n)[ \\t]*\\(?[ \\t]*[IVX\\d]+[ \\t]*\\)?[ \\t]+SAYILI\\s+(CETVEL|L[İI]STE)', chr(30) || '&', 'g'), chr(30))[1] as a,
-        string_split(regexp_replace(metin, '(?m)^[ \\t]*Nokta No [yY] [xX][ \\t]*$', chr(30), 'g'), chr(30))[1] as b,
-        string_split(regexp_replace(metin, '(?i)KOORD[İI]NAT\\s+L[İI]STES[İI]', chr(30), 'g'), chr(30))[1] as c,
-        string_split(regexp_replace(metin, '(?i)\\d+\\s+SAYILI\\s+KANUNA\\s+EK\\s+VE\\s+DE[ĞG]İ[ŞS]İKLİK\\s+GETİREN', chr(30), 'g'), chr(30))[1] as d,
-        string_split(regexp_replace(metin, '(?i)Y[ÜU]R[ÜU]RL[ÜU][ĞG]E\\s+G[İI]R[İI][ŞS]\\s+TAR[İI]HLER[İI]N[İI]\\s+G[ÖO]STER[İI]R', chr(30), 'g'), chr(30))[1] as e from madde)
-    select row_id, length(rtrim(left(metin, least(length(a), length(b), length(c), length(d), length(e))), ' ' || chr(10))) as kept from cut
+_TAILS = [
+    "(?i)(^|\\n)[ \\t]*\\(?[ \\t]*[IVX\\d]+[ \\t]*\\)?[ \\t]+SAYILI\\s+(CETVEL|L[İI]STE)",
+    "(?m)^[ \\t]*Nokta No [yY] [xX][ \\t]*$",
+    "(?i)KOORD[İI]NAT\\s+L[İI]STES[İI]",
+    "(?i)\\d+\\s+SAYILI\\s+KANUNA\\s+EK\\s+VE\\s+DE[ĞG]İ[ŞS]İKLİK\\s+GETİREN",
+    "(?i)Y[ÜU]R[ÜU]RL[ÜU][ĞG]E\\s+G[İI]R[İI][ŞS]\\s+TAR[İI]HLER[İI]N[İI]\\s+G[ÖO]STER[İI]R",
+]
+
+
+@query(f"""
+    with cut as (select row_id, metin, least({", ".join(f"length(string_split(regexp_replace(metin, '{x}', chr(30), 'g'), chr(30))[1])" for x in _TAILS)}) as n from madde)
+    select row_id, length(rtrim(left(metin, n), ' ' || chr(10))) as kept from cut
 """)
 def trimmed_tails(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "madde").select("row_id", F.length(T.trim_tail(F.col("metin"))).cast("bigint").alias("kept"))
@@ -148,29 +153,43 @@ def marker_kinds(spark: SparkSession, folder: str) -> DataFrame:
     return kinds.select("row_id", "kind", T.number_label(F.col("kind"), number).alias("label"), F.col("madde_type").alias("stored"))
 
 
-@query("""
-    with r as (select row_id, madde_type, regexp_extract(madde_no, '(\\d+)', 1) as no, baslik, metin from madde where metin <> '' and baslik <> '' and length(baslik) < 120
-        and not regexp_matches(baslik || chr(10) || metin, '(?m)^[ \\t]*\\d+[ \\t]*$|(?i)sayfa[ \\t]*:|\\n\\n\\n|[ \\t]{2}|\\t|\\r|SAYILI\\s+(CETVEL|L[İI]STE)|Nokta No|KOORD|(?m)^[ \\t]*(MADDE|Madde)[ \\t]+\\d|^\\s|\\s$')
-        and not regexp_matches(baslik, '\\n|^[ .–(-]|\\s$'))
-    select row_id, 0 as pos, case madde_type when 'gecici' then 'Geçici ' when 'ek' then 'Ek ' else '' end || no as madde_no, madde_type, baslik, md5(metin) as metin from r
-""")
+_MARKER = "(?:(?:GEÇİCİ|Geçici|GECICI|Gecici|EK|Ek)[ \\t]+)?(?:MADDE|Madde)[ \\t]+"
+_NORMAL = "lower(translate(trim(marker), 'İI', 'iı'))"
+_LINE = "string_split(kept, chr(10))[1]"
+_AFTER = f"trim(substr(kept, length({_LINE}) + 2), ' ' || chr(10))"
+_TITLED = f"{_LINE} <> '' and length({_LINE}) < 120 and not regexp_matches({_LINE}, '^[ \\t]*\\(\\d+\\)')"
+_SEGMENTED = f"""
+    with printed as (select row_id, case madde_type when 'gecici' then 'Geçici Madde ' when 'ek' then 'Ek Madde ' else 'Madde ' end || regexp_extract(madde_no, '(\\d+)', 1) || ' – ' || case when baslik <> '' then baslik || chr(10) else '' end || metin as metin from madde where metin <> ''),
+    cleaned as (select row_id, string_split(regexp_replace({_CLEAN}, '(?m)^[ \\t]*({_MARKER}\\d+)', chr(30) || '\\1', 'g'), chr(30)) as parts from printed),
+    parted as (select row_id, i - 2 as pos, parts[i] as part from (select row_id, parts, unnest(range(2, len(parts) + 1)) as i from cleaned)),
+    marked as (select row_id, pos, regexp_extract(part, '^[ \\t]*({_MARKER}\\d+)', 1) as marker, regexp_extract(part, '^[ \\t]*{_MARKER}(\\d+)', 1) as no, trim(regexp_replace(part, '^[ \\t]*{_MARKER}\\d+[ \\t\\n.–-]*', ''), ' ' || chr(10)) as metin from parted),
+    cut as (select *, rtrim(left(metin, least({", ".join(f"length(string_split(regexp_replace(metin, '{x}', chr(30), 'g'), chr(30))[1])" for x in _TAILS)})), ' ' || chr(10)) as kept from marked),
+    segmented as (select row_id, pos::int as pos, case when {_NORMAL} like '%geçici%' or {_NORMAL} like '%gecici%' then 'gecici' when {_NORMAL} like 'ek %' then 'ek' else 'normal' end as madde_type, no,
+        case when {_TITLED} then trim({_LINE}) end as baslik, case when {_TITLED} then case when {_AFTER} <> '' then {_AFTER} else trim({_LINE}) end else kept end as metin from cut)
+"""
+_LABEL = "case madde_type when 'gecici' then 'Geçici ' when 'ek' then 'Ek ' else '' end || no as madde_no"
+
+
+def _segmented(spark: SparkSession, folder: str) -> DataFrame:
+    """Every article with a text, printed as a law prints it and parsed: page furniture, tables,
+    markers within the text, long and missing headings included."""
+    madde = spread(table(spark, folder, "madde").where("metin <> ''"), "row_id")
+    return C.segment(madde.withColumn("law", C.render(madde)).select("row_id", "law"), "row_id", "law")
+
+
+@query(f"{_SEGMENTED} select row_id, pos, {_LABEL}, madde_type, baslik, md5(metin) as metin from segmented where metin <> ''")
 def segment_round_trip(spark: SparkSession, folder: str) -> DataFrame:
-    """Articles printed as a law prints them and parsed again, those that parsing does not have to
-    change, so that SQL can state the result; segment_articles has every article with a text."""
-    madde = spread(table(spark, folder, "madde").where("metin <> '' and baslik <> '' and length(baslik) < 120"), "row_id")
-    furniture = r"(?m)^[ \t]*\d+[ \t]*$|(?i)sayfa[ \t]*:|\n\n\n|[ \t]{2}|\t|\r|SAYILI\s+(CETVEL|L[İI]STE)|Nokta No|KOORD|(?m)^[ \t]*(MADDE|Madde)[ \t]+\d|^\s|\s$"
-    kept = madde.where(~F.concat_ws("\n", "baslik", "metin").rlike(furniture) & ~F.col("baslik").rlike(r"\n|^[ .–(-]|\s$"))
-    parsed = C.segment(kept.withColumn("law", C.render(kept)).select("row_id", "law"), "row_id", "law")
-    return parsed.select("row_id", "pos", "madde_no", "madde_type", "baslik", F.md5("metin").alias("metin"))
+    return _segmented(spark, folder).select("row_id", "pos", "madde_no", "madde_type", "baslik", F.md5("metin").alias("metin"))
 
 
-@query()
+@query(f"""
+    {_SEGMENTED}, s as (select *, {_PARTS} as s from segmented where metin <> ''),
+    q as (select *, list_filter([trim(x, ' ' || chr(10) || chr(9)) for x in case when len(s) > 1 then s[2:] else s end], lambda x: x <> '') as f from s)
+    select row_id, pos, {_LABEL}, madde_type, baslik, md5(metin) as metin, len(f) as n_fikra, md5(array_to_string(f, '|')) as fikralar from q
+""")
 def segment_articles(spark: SparkSession, folder: str) -> DataFrame:
-    """Every article with a text, printed as a law prints it and parsed: page furniture, tables,
-    markers within the text, long and missing headings included."""
-    madde = spread(table(spark, folder, "madde").where("metin <> ''"), "row_id")
-    parsed = C.segment(madde.withColumn("law", C.render(madde)).select("row_id", "law"), "row_id", "law")
-    return parsed.select("row_id", "pos", "madde_no", "madde_type", "baslik", F.md5("metin").alias("metin"), F.size("fikralar").cast("bigint").alias("n_fikra"), F.md5(F.array_join("fikralar", "|")).alias("fikralar"))
+    """The same with the numbered paragraphs of each article."""
+    return _segmented(spark, folder).select("row_id", "pos", "madde_no", "madde_type", "baslik", F.md5("metin").alias("metin"), F.size("fikralar").cast("bigint").alias("n_fikra"), F.md5(F.array_join("fikralar", "|")).alias("fikralar"))
 
 
 @query("""
