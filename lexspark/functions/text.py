@@ -92,7 +92,7 @@ def term_frequencies(words: Column) -> Column:
         first = F.filter(F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w))).otherwise(F.array().cast("array<int>")), lambda i: (i == 1) | (F.element_at(w, i) != F.element_at(w, F.greatest(i - 1, F.lit(1)))))
         return let(first, lambda starts: F.transform(starts, lambda s, k: F.struct(F.element_at(w, s).alias("term"), (F.coalesce(F.get(starts, k + 1), F.size(w) + 1) - s).alias("tf"))))
 
-    return let(F.array_sort(words), runs)
+    return let(F.sort_array(words), runs)
 
 
 def indexing_text(title: Column, number: Column, heading: Column, body: Column) -> Column:

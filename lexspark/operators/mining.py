@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.operators import fuse
 from lexspark.operators.ranking import draws
+from lexspark.session import stored
 
 BOOST = 1.2
 DISTRACTORS = 42
@@ -43,6 +44,7 @@ def padded(negatives: DataFrame, positive: DataFrame, articles: DataFrame, n: in
     """negatives(query_id, doc_id, place) filled up to n with other articles of the positive's law, of
     the whole corpus if it has no law, in the order of ranking.draws, marked is_padding; a query of a
     law with no other article stays short. positive(query_id, doc_id, kanun_short)."""
+    negatives = stored(negatives)  # they are read several times, and few
     have = negatives.groupBy("query_id").agg(F.count("*").alias("have"))
     law = F.coalesce(F.nullif("kanun_short", F.lit("")), F.lit("")).alias("law")
     short = positive.join(have, "query_id", "left").select("query_id", F.col("doc_id").alias("_positive"), law, F.coalesce("have", F.lit(0)).alias("have")).where(F.col("have") < n)

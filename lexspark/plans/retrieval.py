@@ -252,7 +252,7 @@ def _positives(spark: SparkSession, folder: str, depth: int = 20) -> tuple[DataF
     corpus = cut(articles(spark, folder).select("doc_id", "kanun_short", "kanun_full", "madde_no", "baslik", "metin"), keep_partitioning=True)
     asked = table(spark, folder, "synthetic_qa").where(F.col("qa_id") % QUERY_EVERY == 0).select(F.col("qa_id").alias("query_id"), "question", F.col("source_doc_id").alias("doc_id"))
     positive, _ = mining.positives(asked, corpus)
-    return positive, corpus, SparseIndex.build(corpus.select("doc_id", full_text_of().alias("text"))).search(asked.select("query_id", "question"), depth)
+    return positive, corpus, stored(SparseIndex.build(corpus.select("doc_id", full_text_of().alias("text"))).search(asked.select("query_id", "question"), depth))
 
 
 _TRAIN = "questions as (select qa_id as query_id, question, source_doc_id from synthetic_qa where qa_id % 50 = 0)"
