@@ -21,7 +21,8 @@ PARAGRAPH_START = r"(?m)^[ \t]*\(\d+\)[ \t]*"
 # Lines of page furniture that plain cleaning drops.
 PAGE_LINE = r"(?m)^[ \t]*\d+[ \t]*$"
 PAGE_LABEL = r"(?mi)^.{0,80}Sayfa[ \t]*:[ \t]*\d+.*$"
-# Headings of tables that hang on after the last article of a law.
+# Headings of tables that hang on after the last article of a law. Blanks at a line's begin
+# are spaces and tabs alone, so that a match starts on the line it is found on and no empty line goes with it.
 TAIL_MARKERS = [
     r"(?i)\d+\s+SAYILI\s+KANUNA\s+EK\s+VE\s+DE[ĞG]İ[ŞS]İKLİK\s+GETİREN",
     r"(?i)(^|\n)[ \t]*\(?[ \t]*[IVX\d]+[ \t]*\)?[ \t]+SAYILI\s+(CETVEL|L[İI]STE)",

@@ -111,9 +111,9 @@ def synthesised(replies: DataFrame, key: str, reply: str = "reply") -> DataFrame
 
 
 def source_line(position: Column, law: Column, number: Column, score: Column, body: Column) -> Column:
-    """A source as a list shows it: head, score and a preview on one line."""
+    """A source as a list shows it: head, score, a dash for none, and a preview on one line."""
     preview = F.translate(F.left(F.coalesce(body, F.lit("")), F.lit(300)), "\n", " ")
-    return F.concat(F.lit("**"), position.cast("string"), F.lit(". ["), law, F.lit(" m."), number, F.lit("]** (score: "), F.round(score.cast("decimal(18,6)"), 3).cast("string"), F.lit(")\n\n> "), preview, F.lit("..."))
+    return F.concat(F.lit("**"), position.cast("string"), F.lit(". ["), law, F.lit(" m."), number, F.lit("]** (score: "), F.coalesce(F.round(score.cast("decimal(18,6)"), 3).cast("string"), F.lit("—")), F.lit(")\n\n> "), preview, F.lit("..."))
 
 
 def chat_example(question: Column, answer: Column, source: Column, limit: int = 1500) -> Column:

@@ -273,4 +273,4 @@ def law_split(spark: SparkSession, folder: str) -> DataFrame:
 @query("select doc_id, kanun_short, lang, source from documents where kanun_short is null or kanun_short not in (select short_name from law_metadata)")
 def documents_without_law(spark: SparkSession, folder: str) -> DataFrame:
     laws = table(spark, folder, "law_metadata").select(F.col("short_name").alias("kanun_short"))
-    return table(spark, folder, "documents").join(F.broadcast(laws), "kanun_short", "left_anti").select("doc_id", "kanun_short", "lang", "source")
+    return table(spark, folder, "documents").join(laws, "kanun_short", "left_anti").select("doc_id", "kanun_short", "lang", "source")

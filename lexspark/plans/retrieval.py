@@ -238,12 +238,12 @@ def dummy_answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""
-    select hit_id, md5('**' || (rank + 1) || '. [' || kanun_short || ' m.' || madde_no || ']** (score: ' || round(score::decimal(18, 6), 3)::varchar || ')' || chr(10) || chr(10) || '> ' || replace(left(coalesce(text, ''), 300), chr(10), ' ') || '...') as line
-    from hit where score is not null
+    select hit_id, md5('**' || (rank + 1) || '. [' || kanun_short || ' m.' || madde_no || ']** (score: ' || coalesce(round(score::decimal(18, 6), 3)::varchar, '—') || ')' || chr(10) || chr(10) || '> ' || replace(left(coalesce(text, ''), 300), chr(10), ' ') || '...') as line
+    from hit
 """)
 def source_lines(spark: SparkSession, folder: str) -> DataFrame:
     line = A.source_line(F.col("rank") + 1, F.col("kanun_short"), F.col("madde_no"), F.col("score"), F.col("text"))
-    return table(spark, folder, "hit").where("score is not null").select("hit_id", F.md5(line).alias("line"))
+    return table(spark, folder, "hit").select("hit_id", F.md5(line).alias("line"))
 
 
 def _positives(spark: SparkSession, folder: str, depth: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:

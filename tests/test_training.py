@@ -86,3 +86,15 @@ def test_bounds_of_small_files(spark, tmp_path, monkeypatch):
         (tmp_path / "b" / name).write_bytes(content)
     got = {r["path"][-5:]: r["text"] for r in files.binary_texts(spark, str(tmp_path / "b"), lambda c: c.decode()).collect()}
     assert got == {"a.bin": "abc", "b.bin": None}
+
+
+def test_query_blocks_and_repeated_queries(spark):
+    from lexspark.operators.sparse import SparseIndex
+
+    docs = spark.createDataFrame([(f"d{i}", "madde " * (i % 3) + f"kira{i % 5} vergi{i % 7}") for i in range(60)], "doc_id string, text string")
+    asked = spark.createDataFrame([(f"q{i}", f"madde kira{i % 5} vergi{i % 7}") for i in range(30)], "query_id string, question string")
+    index = SparseIndex.build(docs)
+    whole = {tuple(r) for r in index.scores(asked).collect()}
+    assert whole == {tuple(r) for r in index.scores(asked, block_terms=9).collect()}
+    plan = index.search(asked)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(query_id") == 1 and "Exchange hashpartitioning(query_id#" in plan and "doc_id" not in plan.split("Exchange hashpartitioning(")[1].split(")")[0]
