@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexspark.operators.sparse import PLACES, top
+from lexspark.operators.sparse import PLACES, best_rows, key_order, top
 from lexspark.session import part_of, stored, written
 
 BLOCK = 1024
@@ -38,19 +38,6 @@ def query_block(path: str, block: int) -> pa.Table | None:
     return part_of(path, "block", block)
 
 
-def best_rows(scores: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, query) of the k best of each column of scores, ties by the rows' order; rows at -inf never."""
-    if len(scores) > k:
-        edge = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
-        row, query = np.nonzero((scores >= edge) & (scores > -np.inf))
-    else:
-        row, query = np.nonzero(scores > -np.inf)
-    by = np.lexsort((order[row], -scores[row, query], query))
-    row, query = row[by], query[by]
-    place = np.arange(len(query)) - np.searchsorted(query, query)
-    return row[place < k], query[place < k]
-
-
 def best_of_tasks(vectors: DataFrame, queries: DataFrame, k: int, block: int, centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
     """(query_id, doc_id, score): the best that each task finds; with centres, only vectors(cell) in one
     of the cells nearest to the query."""
@@ -62,8 +49,7 @@ def best_of_tasks(vectors: DataFrame, queries: DataFrame, k: int, block: int, ce
 
     def found(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
-        order = np.empty(len(table), dtype=np.int64)
-        order[pc.sort_indices(table["doc_id"]).to_numpy()] = np.arange(len(table))
+        order = key_order(table["doc_id"])
         for b in range(blocks):
             own = query_block(path, b)
             if own is None:

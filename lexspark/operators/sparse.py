@@ -5,34 +5,90 @@ idf(t) = ln(N - df + 0.5) - ln(df + 0.5); below zero it is epsilon times the mea
 Ranks are by the score rounded to six places, then by key, so that ties do not depend on the
 order of summation.
 
-Terms are counted within each document's row. The postings stay partitioned by document, so that
-a task sums up the scores of its documents for itself and sends only its best per query: neither
-the matches nor the documents of a frequent term ever come together. Queries go to the postings in
-blocks of a bounded number of terms.
+Terms are counted within each document's row, and the rows stay where they are: a task holds its
+documents against the queries, block by block from the shared folder, and sends its best per query
+only. So neither the matches nor the documents of a frequent term are shuffled or written anywhere.
 """
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspark.functions import text as T
-from lexspark.session import cut, spread, stored
+from lexspark.session import part_of, spread, stored, written
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 PLACES = 6
-#: Query terms that are broadcast at a time.
-BLOCK_TERMS = 200_000
+BLOCK_QUERIES = 1024
+AT_ONCE = 1 << 20  # pairs of a document and a query that a task scores at a time
+
+
+def best_rows(scores: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, query) of the k best of each column of scores, ties by the rows' order; rows at -inf never."""
+    if len(scores) > k:
+        edge = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k]
+        row, query = np.nonzero((scores >= edge) & (scores > -np.inf))
+    else:
+        row, query = np.nonzero(scores > -np.inf)
+    by = np.lexsort((order[row], -scores[row, query], query))
+    row, query = row[by], query[by]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return row[place < k], query[place < k]
+
+
+def key_order(keys: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The place of each key in their order."""
+    order = np.empty(len(keys), dtype=np.int64)
+    order[pc.sort_indices(keys).to_numpy()] = np.arange(len(keys))
+    return order
+
+
+class QueryTerms:
+    """The weights of a block of queries by term."""
+
+    def __init__(self, rows: pa.Table):
+        terms, queries = (rows[c].combine_chunks().dictionary_encode() for c in ("term", "query_id"))
+        self.terms, self.queries = terms.dictionary, queries.dictionary
+        code = terms.indices.to_numpy()
+        by = np.argsort(code, kind="stable")
+        self.begin = np.searchsorted(code[by], np.arange(len(self.terms) + 1))
+        self.query, self.weight = queries.indices.to_numpy()[by].astype(np.int64), rows["weight"].to_numpy()[by]
+
+    def scores(self, found: pa.ListArray, lengths: np.ndarray, k1: float) -> np.ndarray:
+        """A row per document of found(term, tf), whose lengths come as the part of the formula they make;
+        -inf where no term is shared."""
+        doc = np.repeat(np.arange(len(found)), found.value_lengths().fill_null(0).to_numpy())
+        postings = found.flatten()
+        code = pc.fill_null(pc.index_in(postings.field("term"), value_set=self.terms), -1).to_numpy()
+        at = np.flatnonzero(code >= 0)
+        code, doc, tf = code[at], doc[at], postings.field("tf").to_numpy()[at]
+        worth = tf * (k1 + 1) / (tf + lengths[doc])
+        n = self.begin[code + 1] - self.begin[code]
+        entry = np.arange(n.sum()) + np.repeat(self.begin[code] + n - np.cumsum(n), n)
+        cell, size = np.repeat(doc, n) * len(self.queries) + self.query[entry], len(found) * len(self.queries)
+        total = np.bincount(cell, weights=np.repeat(worth, n) * self.weight[entry], minlength=size)
+        return np.where(np.bincount(cell, minlength=size) > 0, np.round(total, PLACES), -np.inf).reshape(len(found), -1)
+
+
+@functools.lru_cache(maxsize=1)
+def query_terms(path: str, block: int) -> QueryTerms | None:
+    rows = part_of(path, "block", block)
+    return QueryTerms(rows) if rows is not None and len(rows) else None
 
 
 @dataclass
 class SparseIndex:
-    """postings(term, doc_id, tf, len), docs(doc_id, len), terms(term, df, idf), n and average length."""
+    """docs(doc_id, len, found array<struct<term,tf>>), terms(term, df, idf), n and average length; and
+    postings(term, doc_id, tf, len), the same by term."""
 
-    postings: DataFrame
     docs: DataFrame
     terms: DataFrame
     n: int
@@ -40,50 +96,60 @@ class SparseIndex:
 
     @classmethod
     def build(cls, documents: DataFrame, text: str = "text", epsilon: float = EPSILON) -> SparseIndex:
-        """Of documents(doc_id, text); doc_id unique. Empty texts count in n and the average. Documents
-        that are partitioned by doc_id are not shuffled."""
+        """Of documents(doc_id, text); doc_id unique. Empty texts count in n and the average."""
         words = spread(documents.select("doc_id", text), "doc_id").select("doc_id", T.tokenize(F.col(text)).alias("words"))
-        counted = words.select("doc_id", F.size("words").cast("bigint").alias("len"), T.term_frequencies(F.col("words")).alias("found"))
-        whole = cut(counted.groupBy("doc_id").agg(F.first("len").alias("len"), F.first("found").alias("found")), keep_partitioning=True)
-        # an empty text keeps a row without a term
-        rows = whole.select("doc_id", "len", F.posexplode_outer("found").alias("at", "x")).select("doc_id", "len", F.coalesce("at", F.lit(0)).alias("at"), "x.term", F.col("x.tf").cast("bigint").alias("tf"))
-        per_term = stored(rows.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("at") == 0).alias("docs"), F.sum(F.when(F.col("at") == 0, F.col("len"))).alias("tokens")))
-        totals = per_term.agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("n"), F.sum("tokens").alias("tokens")).collect()[0]
-        raw = per_term.where("term is not null").withColumn("raw", F.ln(F.lit(totals["n"]) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+        docs = stored(words.select("doc_id", F.size("words").cast("bigint").alias("len"), T.term_frequencies(F.col("words")).alias("found")))
+        totals = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).collect()[0]
+        df = stored(docs.select(F.explode("found.term").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+        raw = df.withColumn("raw", F.ln(F.lit(totals["n"]) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
         mean = raw.agg(F.avg("raw")).collect()[0][0] or 0.0
         terms = raw.select("term", "df", F.when(F.col("raw") < 0, epsilon * mean).otherwise(F.col("raw")).alias("idf"))
-        return cls(rows.where("term is not null").select("term", "doc_id", "tf", "len"), whole.select("doc_id", "len"), terms, totals["n"], (totals["tokens"] or 0) / max(1, totals["n"]))
+        return cls(docs, terms, totals["n"], totals["tokens"] / max(1, totals["n"]))
 
-    def save(self, folder: str, parts: int = 16) -> None:
-        """Write the index; postings are spread by term, so a lookup reads a share of the files."""
-        self.postings.withColumn("part", F.pmod(F.xxhash64("term"), F.lit(parts))).repartition(parts, "part").sortWithinPartitions("term").write.partitionBy("part").parquet(f"{folder}/postings", mode="overwrite")
+    @property
+    def postings(self) -> DataFrame:
+        return self.docs.select("doc_id", "len", F.explode("found").alias("x")).select("x.term", "doc_id", "x.tf", "len")
+
+    def save(self, folder: str) -> None:
+        """Write the index."""
         self.docs.write.parquet(f"{folder}/docs", mode="overwrite")
         self.terms.write.parquet(f"{folder}/terms", mode="overwrite")
         self.docs.sparkSession.createDataFrame([(self.n, self.average)], "n bigint, average double").coalesce(1).write.parquet(f"{folder}/totals", mode="overwrite")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> SparseIndex:
-        """A missing table raises when it is opened. Written postings are no longer partitioned by
-        document: scores summed up within a task are then shuffled once."""
+        """A missing table raises when it is opened."""
         totals = spark.read.parquet(f"{folder}/totals").collect()[0]
-        return cls(spark.read.parquet(f"{folder}/postings").select("term", "doc_id", "tf", "len"), spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/terms"), totals["n"], totals["average"])
+        return cls(spark.read.parquet(f"{folder}/docs"), spark.read.parquet(f"{folder}/terms"), totals["n"], totals["average"])
 
-    def scores(self, queries: DataFrame, text: str = "question", k1: float = K1, b: float = B, block_terms: int = BLOCK_TERMS) -> DataFrame:
-        """(query_id, doc_id, score) of every pair that shares a term, for queries(query_id, text)."""
+    def best_of_tasks(self, queries: DataFrame, k: int, text: str, k1: float, b: float, block: int) -> DataFrame:
+        """(query_id, doc_id, score): the best that each task finds among the documents that share a term."""
         wanted = queries.select("query_id", F.explode(T.tokenize(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qf"))
         weighted = stored(wanted.join(self.terms, "term").select("query_id", "term", (F.col("qf") * F.col("idf")).alias("weight")))
-        blocks = max(1, -(-weighted.count() // block_terms))
-        tf, length = F.col("tf"), k1 * (1 - b + b * F.col("len") / F.lit(self.average or 1.0))
-        score = F.round(F.sum(F.col("weight") * tf * (k1 + 1) / (tf + length)), PLACES).alias("score")
-        own = (weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) for k in range(blocks))
-        scored = (self.postings.join(F.broadcast(w), "term").groupBy("query_id", "doc_id").agg(score) for w in own)
-        return functools.reduce(DataFrame.unionByName, scored)
-
-    def search(self, queries: DataFrame, top_k: int = 10, text: str = "question", pad: bool = False) -> DataFrame:
+        blocks = max(1, -(-weighted.select("query_id").distinct().count() // block))
+        path = written(weighted.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block"), "block")
+        id_kind, kind = weighted.schema["query_id"].dataType.simpleString(), self.docs.schema["doc_id"].dataType.simpleString()
+        average = self.average or 1.0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for number in range(blocks):
+                    own = query_terms(path, number)
+                    step = max(k, AT_ONCE // len(own.queries)) if own else 0
+                    for at in range(0, batch.num_rows, step) if own else ():
+                        part = batch.slice(at, step)
+                        lengths = k1 * (1 - b + b * part.column(1).to_numpy() / average)
+                        scores = own.scores(part.column(2), lengths, k1)
+                        row, query = best_rows(scores, key_order(part.column(0)), k)
+                        yield pa.RecordBatch.from_arrays([own.queries.take(pa.array(query)), part.column(0).take(pa.array(row)), pa.array(scores[row, query])], ["query_id", "doc_id", "score"])
+
+        return self.docs.select("doc_id", "len", "found").mapInArrow(run, f"query_id {id_kind}, doc_id {kind}, score double")
+
+    def search(self, queries: DataFrame, top_k: int = 10, text: str = "question", pad: bool = False, k1: float = K1, b: float = B, block: int = BLOCK_QUERIES) -> DataFrame:
         """(query_id, doc_id, score, rank) of the best documents of each query, ranks from 1. Only
         documents that share a term are found; with pad, queries with fewer get the first other
         documents by key at score 0, as a dense array of scores would give."""
-        found = top(self.scores(queries, text), top_k)
+        found = top(self.best_of_tasks(queries, top_k, text, k1, b, block), top_k)
         if not pad:
             return found
         have = found.groupBy("query_id").agg(F.count("*").alias("have"))

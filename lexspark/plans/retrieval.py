@@ -13,7 +13,7 @@ from lexspark.operators import evaluation as E
 from lexspark.operators.search import Retriever
 from lexspark.operators.sparse import SparseIndex
 from lexspark.plans.registry import CORPUS, INDEXING_TEXT, QUESTIONS, query, sql_bm25, sql_dense, sql_tokens
-from lexspark.session import cut, stored, table
+from lexspark.session import stored, table
 
 QUERY_EVERY = 50
 
@@ -136,7 +136,7 @@ _TWO = f"{_HEAD} {sql_bm25('metin', 'a_', 50)}, {sql_bm25('baslik', 'b_', 50)}"
 def _two(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Rankings by body and by heading."""
     asked = questions(spark, folder)
-    texts = cut(articles(spark, folder).select("doc_id", "metin", "baslik"), keep_partitioning=True)
+    texts = stored(articles(spark, folder).select("doc_id", "metin", "baslik"))
     return SparseIndex.build(texts, "metin").search(asked, 50), SparseIndex.build(texts, "baslik").search(asked, 50)
 
 
@@ -180,7 +180,7 @@ def hybrid_weighted_boost(spark: SparkSession, folder: str) -> DataFrame:
 """)
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     """The whole retriever, sparse and dense, with the stand-in encoder."""
-    corpus = cut(articles(spark, folder), keep_partitioning=True)
+    corpus = stored(articles(spark, folder))
     hits = Retriever.build(corpus).search(questions(spark, folder), 10, "hybrid")
     return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "doc_id", F.round("score", 6).alias("score"), "kanun_short", "madde_no")
 
@@ -249,7 +249,7 @@ def source_lines(spark: SparkSession, folder: str) -> DataFrame:
 def _positives(spark: SparkSession, folder: str, depth: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Training questions of the stated query set with their article, the corpus, and their BM25
     ranking."""
-    corpus = cut(articles(spark, folder).select("doc_id", "kanun_short", "kanun_full", "madde_no", "baslik", "metin"), keep_partitioning=True)
+    corpus = stored(articles(spark, folder).select("doc_id", "kanun_short", "kanun_full", "madde_no", "baslik", "metin"))
     asked = table(spark, folder, "synthetic_qa").where(F.col("qa_id") % QUERY_EVERY == 0).select(F.col("qa_id").alias("query_id"), "question", F.col("source_doc_id").alias("doc_id"))
     positive, _ = mining.positives(asked, corpus)
     return positive, corpus, stored(SparseIndex.build(corpus.select("doc_id", full_text_of().alias("text"))).search(asked.select("query_id", "question"), depth))

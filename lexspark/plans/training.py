@@ -15,7 +15,7 @@ from lexspark.operators.pipeline import Pipeline
 from lexspark.operators.search import Retriever
 from lexspark.plans import retrieval
 from lexspark.plans.registry import CORPUS, INDEXING_TEXT, QUESTIONS, query, sql_bm25, sql_dense, sql_tokens
-from lexspark.session import cut, stored, table
+from lexspark.session import stored, table
 
 _BOTH = f"""
     with {CORPUS}, {retrieval._TRAIN}, {sql_bm25(INDEXING_TEXT, 'b_', 50)}, {sql_dense(INDEXING_TEXT)},
@@ -26,7 +26,7 @@ _BOTH = f"""
 def _both(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Training questions of the stated query set with their article, the corpus, and the 50 best by BM25
     and by vectors."""
-    corpus = cut(retrieval.articles(spark, folder), keep_partitioning=True)
+    corpus = stored(retrieval.articles(spark, folder))
     asked = table(spark, folder, "synthetic_qa").where(F.col("qa_id") % retrieval.QUERY_EVERY == 0).select(F.col("qa_id").alias("query_id"), "question", F.col("source_doc_id").alias("doc_id"))
     retriever, queries = Retriever.build(corpus), asked.select("query_id", "question")
     lists = [stored(retriever.rank(queries, 50, mode)) for mode in ("bm25", "dense")]
@@ -129,7 +129,7 @@ _CTX_BLOCK = "'[' || coalesce(kanun_short, '') || ' m.' || coalesce(madde_no, ''
 """)
 def answered_questions(spark: SparkSession, folder: str) -> DataFrame:
     """The whole pipeline in one call, with BM25 and the dummy model."""
-    retriever = Retriever.build(cut(retrieval.articles(spark, folder), keep_partitioning=True), with_dense=False)
+    retriever = Retriever.build(stored(retrieval.articles(spark, folder)), with_dense=False)
     answered = Pipeline(retriever, mode="bm25").answer(retrieval.questions(spark, folder))
     return answered.select("query_id", "question", "answer", F.array_join("sources.doc_id", ",").alias("sources"), F.col("context_chars").cast("bigint").alias("context_chars"))
 

@@ -42,19 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
     """Checkpoint df to the shared folder, so that later stages neither recompute it nor
-    depend on executors that may be lost. With keep_partitioning, what follows knows how df is
-    partitioned and need not shuffle it again by the same keys; adaptive plans hide that, so this
-    one is none."""
-    spark = df.sparkSession
-    shared_folder(spark)
-    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
-    try:
-        spark.conf.set("spark.sql.adaptive.enabled", str(adaptive == "true" and not keep_partitioning).lower())
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    depend on executors that may be lost."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame, *by: str) -> str:
