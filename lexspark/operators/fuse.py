@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspark.operators.sparse import PLACES
+from lexspark.session import stored
 
 RRF_K = 60
 
@@ -17,7 +18,8 @@ def reciprocal_ranks(lists: list[DataFrame], top_k: int, k: int = RRF_K) -> Data
     for i, one in enumerate(lists):
         part = one.select("query_id", "doc_id", (1.0 / (k + F.col("rank"))).alias("s"), F.struct(F.lit(i).alias("list"), F.col("rank").alias("rank")).alias("place"))
         united = part if united is None else united.unionByName(part)
-    fused = united.groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"), F.min("place").alias("place"))
+    # lists of the same partitioning are stored, since a union of adapted plans may lose what it claims of it
+    fused = stored(united).groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"), F.min("place").alias("place"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 12)), "place.list", "place.rank", "doc_id")
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select("query_id", "doc_id", "score", "rank")
 
@@ -32,7 +34,7 @@ def minmax(scored: DataFrame) -> DataFrame:
 def weighted(a: DataFrame, b: DataFrame, boost: DataFrame | None = None, factor: float = 1.2) -> DataFrame:
     """(query_id, doc_id, score): the mean of the scaled scores of two lists, 0 where a list lacks
     the document; pairs in boost(query_id, doc_id) count by the factor."""
-    both = minmax(a).select("query_id", "doc_id", "score").unionByName(minmax(b).select("query_id", "doc_id", "score"))
+    both = stored(minmax(a).select("query_id", "doc_id", "score").unionByName(minmax(b).select("query_id", "doc_id", "score")))
     summed = both.groupBy("query_id", "doc_id").agg((0.5 * F.sum("score")).alias("score"))
     if boost is not None:
         marked = boost.select("query_id", "doc_id").distinct().withColumn("_boost", F.lit(factor))
