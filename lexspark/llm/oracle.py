@@ -57,6 +57,20 @@ ORACLE: dict[str, str] = {
         ig as ({_GRAMS.format(keys='item_id', source='items')}), tg as ({_GRAMS.format(keys='src, text_id', source='texts')})
         select distinct item_id, src, text_id from ig join tg using (g)
     """,
+    "p4_passages": f"""
+        with items as (select item_id, w, row_number() over () as p from (select distinct row_id as item_id, {sql_words('t')} as w
+            from (select row_id, unnest([question, regexp_replace(answer, '\\[[^\\[\\]]*\\]', ' ', 'g')]) as t from test_full)) where len(w) >= 8),
+        texts as (select *, {sql_words('text')} as w, row_number() over () as t from (select 'documents' as src, doc_id as text_id, text from documents
+            union all select 'synthetic_qa', qa_id, unnest([question, answer]) from synthetic_qa)),
+        gaps as (select t, unnest(range(1, len(w) + 1)) as k, unnest(w) as word, unnest(regexp_split_to_array(lower(translate(text, 'İIı', 'iii')), '[\\p{{L}}\\p{{N}}]+')[:len(w)]) as gap from texts where len(w) >= 8),
+        places as (select t, k, (sum(length(gap) + length(word)) over (partition by t order by k))::int as upto, length(word) as n from gaps),
+        ig as (select p, i, array_to_string(w[i:i + 7], ' ') as g from (select p, w, unnest(range(1, len(w) - 6)) as i from items)),
+        tg as (select t, a, array_to_string(w[a:a + 7], ' ') as g from (select t, w, unnest(range(1, len(w) - 6)) as a from texts where len(w) >= 8)),
+        met as (select t, p, a, a - i as shift, a - row_number() over (partition by t, p, a - i order by a) as run from ig join tg using (g)),
+        runs as (select t, p, min(a) as a, max(a) + 7 as b from met group by t, p, shift, run)
+        select src, text_id, item_id, (x.upto - x.n)::int as start, y.upto as "end" from runs join items using (p) join texts using (t)
+            join places x on x.t = runs.t and x.k = runs.a join places y on y.t = runs.t and y.k = runs.b
+    """,
     "p6_found": f"""
         with r as (select 'dev_omer' as src, row_id as row, id, question from dev_omer
             union all select 'gold_lines', line_id, json_extract_string(line, '$.id'), json_extract_string(line, '$.question') from gold_lines
