@@ -151,7 +151,23 @@ def answer_scores(spark: SparkSession, folder: str) -> DataFrame:
     return E.answer_metrics(training(spark, folder), ["qa_id"], "answer", "madde_text", rouge=False)
 
 
-@query()
+# the table of the longest common subsequence by rows: only gold tokens that the answer has can count
+@query(f"""
+    with recursive n as (select qa_id, {sql_normal('answer')} as pn, {sql_normal('madde_text')} as gn from synthetic_qa),
+    t as (select qa_id, regexp_extract_all(pn, '[\\p{{L}}\\p{{N}}_]+') as p, regexp_extract_all(gn, '[\\p{{L}}\\p{{N}}_]+') as g from n),
+    both_ as (select qa_id, p, len(g) as ng, list_filter(g, lambda w: list_contains(p, w)) as g from t),
+    cells as (select qa_id, p, unnest(range(1, len(g) + 1)) as j, unnest(g) as w from both_),
+    rows_ as (
+        select 0 as i, qa_id, j, 0 as best from cells
+        union all
+        select i, qa_id, j, max(own) over (partition by qa_id order by j) as best from (
+            select r.i + 1 as i, r.qa_id, r.j, greatest(r.best, case when c.p[r.i + 1] = c.w then 1 + coalesce(lag(r.best) over (partition by r.qa_id order by r.j), 0) else 0 end) as own
+            from rows_ r join cells c on c.qa_id = r.qa_id and c.j = r.j where r.i < len(c.p))
+    ),
+    common as (select qa_id, max(best) as c from rows_ group by 1)
+    select qa_id, round(case when coalesce(c, 0) > 0 then 2.0::double * (c::double / len(p)) * (c::double / ng) / (c::double / ng + c::double / len(p)) else 0.0 end, 6)::double as rouge_l
+    from both_ left join common using (qa_id)
+""")
 def answer_rouge(spark: SparkSession, folder: str) -> DataFrame:
     pairs = training(spark, folder).select("qa_id", T.tokens(F.col("answer")).alias("p"), T.tokens(F.col("madde_text")).alias("g"))
     return pairs.select("qa_id", F.round(S.rouge_l(F.col("p"), F.col("g")), 6).alias("rouge_l"))
