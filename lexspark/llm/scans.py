@@ -322,7 +322,7 @@ class Repair:
     @classmethod
     def of(cls, texts: DataFrame) -> Repair:
         """Of texts(row_id, field, text, title). Null texts are left out, empty ones stay empty;
-        (row_id, field) should be unique. title is the law's name, for its running heads."""
+        repeated and null ids give a row each, columns of other names are ignored. title is the law's name, for its running heads."""
         plain = texts.select("row_id", "field", "text", "title").where("text is not null")
         counts = stored(lexicon(plain))
         total = counts.agg(F.sum("n")).collect()[0][0] or 0
@@ -362,13 +362,15 @@ class Repair:
         """(row_id, field, text), misread words put right."""
         done = stored(self.done.drop("kinds"))
         read = done.select("row_id", "field", F.explode("rare").alias("word")).join(self.wrong, "word")
-        fixes = read.groupBy("row_id", "field").agg(F.map_from_entries(F.collect_list(F.struct("word", "right"))).alias("fixes"))
+        # rows of the same key share their words, each of which has one correction
+        fixes = read.groupBy("row_id", "field").agg(F.map_from_entries(F.collect_set(F.struct("word", "right"))).alias("fixes"))
 
         @F.arrow_udf("string")
         def mend(text: pa.Array, fixes_: pa.Array) -> pa.Array:
             return pa.array([mended(t, dict(f or ())) for t, f in zip(text.to_pylist(), fixes_.to_pylist())], pa.string())
 
-        return done.select("row_id", "field", "text").join(fixes, ["row_id", "field"], "left").select("row_id", "field", mend("text", "fixes").alias("text"))
+        same = F.col("d.row_id").eqNullSafe(F.col("f.row_id")) & F.col("d.field").eqNullSafe(F.col("f.field"))
+        return done.alias("d").join(fixes.alias("f"), same, "left").select("d.row_id", "d.field", mend("text", "fixes").alias("text"))
 
 
 def repair(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
