@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspark.functions import scores as S
 from lexspark.functions import text as T
+from lexspark.operators.ranking import running_sums
 
 DEPTHS = (1, 3, 5, 10)
 
@@ -55,11 +56,11 @@ def gate(ranks: DataFrame, rank: str = "rank") -> DataFrame:
 def threshold_metrics(scored: DataFrame, score: str = "score", relevant: str = "relevant") -> DataFrame:
     """One row over scored(score, relevant): the best accuracy and the best F1 that a threshold reaches,
     the highest such thresholds, precision and recall at the F1's, and the average precision. Scores
-    are rounded to six places, so that those from 0 to 1 make a histogram of bounded size. Null scores
-    do not count."""
+    are rounded to six places, and count once each with how often they occur. Null scores do not
+    count."""
     by = scored.where(F.col(score).isNotNull()).groupBy(F.round(score, 6).alias("t")).agg(F.count_if(relevant).alias("p"), F.count_if(~F.col(relevant)).alias("q"))
-    upto, whole = Window.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    at = by.select("t", "p", F.sum("p").over(upto).alias("tp"), F.sum("q").over(upto).alias("fp"), F.sum("p").over(whole).alias("np"), F.sum("q").over(whole).alias("nq"))
+    summed = running_sums(by, "t", ["p", "q"], descending=True)
+    at = summed.select("t", "p", F.col("upto_p").alias("tp"), F.col("upto_q").alias("fp"), F.col("total_p").alias("np"), F.col("total_q").alias("nq"))
     precision, recall = F.col("tp") / (F.col("tp") + F.col("fp")), F.coalesce(F.col("tp") / F.nullif("np", F.lit(0)), F.lit(0.0))
     at = at.select("t", ((F.col("tp") + F.col("nq") - F.col("fp")) / (F.col("np") + F.col("nq"))).alias("accuracy"), precision.alias("precision"), recall.alias("recall"), (2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("np"))).alias("f1"), F.coalesce(precision * F.col("p") / F.nullif("np", F.lit(0)), F.lit(0.0)).alias("gain"))
     best = at.agg(F.max(F.struct(F.round("accuracy", 9).alias("accuracy"), "t")).alias("a"), F.max(F.struct(F.round("f1", 9).alias("f1"), "t", "precision", "recall")).alias("b"), F.sum("gain").alias("ap"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspark.session import stored
+
 
 def hash_rank(df: DataFrame, by: list[str], key: Column, seed: int = 42, rank: str = "rank") -> DataFrame:
     """df with the 1-based rank of each row by md5(seed:key) within its group, the whole table if
@@ -44,13 +46,28 @@ def stratified_split(df: DataFrame, by: str, key: Column, ratio: float = 0.2, le
     return ranked.select(*df.columns, F.when((size >= least_group) & (F.col("rank") <= n), "test").otherwise("dev").alias("split"))
 
 
+def running_sums(counts: DataFrame, value: str, columns: list[str], descending: bool = False, ranges: int | None = None) -> DataFrame:
+    """counts with upto_<c>, the sum of each column over all values up to the row's, and total_<c>, over
+    all; values must be unique and not null. Rows are partitioned by ranges of the value, summed
+    within them, and the sums of the ranges before added, so no task has the whole table. There are
+    as many ranges as the session has shuffle partitions, unless told."""
+    order = F.desc(value) if descending else F.asc(value)
+    # written, as the ranges are read twice and have to be the same
+    placed = stored(counts.repartitionByRange(*([ranges] if ranges else []), order).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
+    before, whole = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
+    sums = [F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in columns] + [F.sum(f"_{c}").over(whole).alias(f"total_{c}") for c in columns]
+    within = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.select("*", *[F.sum(c).over(within).alias(f"_within_{c}") for c in columns]).join(sizes.select("_range", *sums), "_range")
+    upto = [(F.col(f"_before_{c}") + F.col(f"_within_{c}")).alias(f"upto_{c}") for c in columns]
+    return summed.select(*counts.columns, *upto, *[f"total_{c}" for c in columns])
+
+
 def nearest_rank(df: DataFrame, value: Column, shares: list[float]) -> DataFrame:
     """(share, value): the element at floor(n * share) of the sorted values, from the histogram."""
     counts = df.select(value.alias("value")).where("value is not null").groupBy("value").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("upto", upto).withColumn("total", F.sum("n").over(Window.partitionBy()))
-    wanted = ranked.select("*", F.explode(F.array(*map(F.lit, shares))).alias("share"))
-    return wanted.where(F.col("upto") > F.floor(F.col("total") * F.col("share"))).groupBy("share").agg(F.min("value").alias("value"))
+    wanted = running_sums(counts, "value", ["n"]).select("*", F.explode(F.array(*map(F.lit, shares))).alias("share"))
+    return wanted.where(F.col("upto_n") > F.floor(F.col("total_n") * F.col("share"))).groupBy("share").agg(F.min("value").alias("value"))
 
 
 def share_split(df: DataFrame, key: Column, share: float = 0.05, seed: int = 42) -> DataFrame:
